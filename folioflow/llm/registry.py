@@ -5,8 +5,12 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op2_quality": "quality",
+    "op1_decontaminate": "decontaminate",
     "op9_simhash": "simhash",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in _NAMES.items()}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": import_module(".decontaminate", __package__).OP1_SQL,
+}
