@@ -69,3 +69,38 @@ def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) ->
                 roots.select("node", F.col("node").alias("component"))
             )
         seen = state
+
+
+class LinkTally:
+    """Links among the nodes of one task, kept as counts by node and a spanning forest."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.near = weight, np.zeros(len(weight), np.int64)
+        self.a: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.b: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        n = len(self.weight)
+        self.near += np.bincount(a, self.weight[b], n).astype(np.int64) + np.bincount(b, self.weight[a], n).astype(np.int64)
+        self.a.append(a)
+        self.b.append(b)
+        if sum(map(len, self.a)) > 4 * n:
+            self.a, self.b = ([x] for x in self.forest())
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        label = local_components(np.concatenate(self.a), np.concatenate(self.b), len(self.weight))
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return child, label[child]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        """(a, b, near): edges of the forest, and with b null the weight linked to a."""
+        child, parent = self.forest()
+        some = np.flatnonzero(self.near)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([names[child], names[some]])),
+            pa.array(np.concatenate([names[parent], names[some]]), mask=np.arange(len(child) + len(some)) >= len(child)),
+            pa.array(np.concatenate([np.zeros(len(child), np.int64), self.near[some]])),
+        ], names=["a", "b", "near"])
+
+
+LINK_SCHEMA = "a long, b long, near long"

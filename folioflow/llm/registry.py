@@ -7,10 +7,14 @@ from importlib import import_module
 _NAMES = {
     "op2_quality": "quality",
     "op1_decontaminate": "decontaminate",
+    "op4_shards": "shard",
+    "op6_embedding_dedup": "embed_dedup",
     "op9_simhash": "simhash",
+    "op10_secrets": "secret_scan",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in _NAMES.items()}
 SQL: dict[str, str] = {
     "op1_decontaminate": import_module(".decontaminate", __package__).OP1_SQL,
+    "op6_embedding_dedup": import_module(".embed_dedup", __package__).OP6_SQL,
 }
