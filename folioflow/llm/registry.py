@@ -7,8 +7,11 @@ from importlib import import_module
 _NAMES = {
     "op2_quality": "quality",
     "op1_decontaminate": "decontaminate",
+    "op3_packing": "packing",
     "op4_shards": "shard",
     "op6_embedding_dedup": "embed_dedup",
+    "op7_token_counts": "token_count",
+    "op8_warc": "warc",
     "op9_simhash": "simhash",
     "op10_secrets": "secret_scan",
 }
@@ -17,4 +20,6 @@ QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for nam
 SQL: dict[str, str] = {
     "op1_decontaminate": import_module(".decontaminate", __package__).OP1_SQL,
     "op6_embedding_dedup": import_module(".embed_dedup", __package__).OP6_SQL,
+    "op7_token_counts": "token_count",
+    "op8_warc": import_module(".warc", __package__).OP8_SQL,
 }
