@@ -9,6 +9,7 @@ _NAMES = {
     "op1_decontaminate": "decontaminate",
     "op3_packing": "packing",
     "op4_shards": "shard",
+    "op5_repeated_spans": "suffix_dedup",
     "op6_embedding_dedup": "embed_dedup",
     "op7_token_counts": "token_count",
     "op8_warc": "warc",
@@ -19,6 +20,7 @@ _NAMES = {
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in _NAMES.items()}
 SQL: dict[str, str] = {
     "op1_decontaminate": import_module(".decontaminate", __package__).OP1_SQL,
+    "op5_repeated_spans": import_module(".suffix_dedup", __package__).OP5_SQL,
     "op6_embedding_dedup": import_module(".embed_dedup", __package__).OP6_SQL,
     "op7_token_counts": "token_count",
     "op8_warc": import_module(".warc", __package__).OP8_SQL,
