@@ -205,10 +205,18 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
         run, f"id long, n_words long, n_hit long, items array<long>, items_sha256 string, matches array<struct<{_MATCH.replace(' ', ':')}>>".replace(",:", ", "))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a match. Rows that repeat an id go if any of them has a match; a null id stays unless it matches."""
-    hit = benchmark_matches(docs, bench, id_col, text_col, window=window).where("n_hit > 0").select(F.col("id").alias("__id")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+                  block_bytes: int = BENCH_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text has no match, with all their columns; each row is judged by its own text."""
+    sent = _bench_blocks(bench, item_col, item_text_col, window, block_bytes)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        given, bench_blocks = [b"" if t is None else t.encode() for t in texts], [b.value for b in sent]
+        hits = [search_shard(given[lo:hi], bench_blocks, window)[1] for lo, hi in blocks(given)]
+        return pd.Series(np.concatenate(hits) == 0 if hits else np.zeros(0, bool))
+
+    return docs.where(clean(F.col(text_col).cast("string")))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

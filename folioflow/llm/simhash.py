@@ -21,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._graph import connected_components, local_components
+from ._graph import LINK_SCHEMA, LinkTally, connected_components
 from ._shared import table, written
 from ._text import NONSPACE_CLASS, U64, Words, blocks, join_words, utf8, xxh64
 
@@ -147,24 +147,10 @@ def class_links(classes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = L
             values, node = np.unique(fp, return_inverse=True)
             weight = np.zeros(len(values), np.int64)
             weight[node] = n
-            near = np.zeros(len(values), np.int64)
-            ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            tally = LinkTally(weight)
             for a, b in _pairs_of_runs(key, side, fp, shared, max_bits):
-                a, b = node[a], node[b]
-                near += np.bincount(a, weight[b], len(values)).astype(np.int64) + np.bincount(b, weight[a], len(values)).astype(np.int64)
-                ea.append(a)
-                eb.append(b)
-                if sum(map(len, ea)) > 4 * len(values):  # reduce the links to a forest
-                    label = local_components(np.concatenate(ea), np.concatenate(eb), len(values))
-                    ea, eb = [np.flatnonzero(label != np.arange(len(label)))], []
-                    eb = [label[ea[0]]]
-            label = local_components(np.concatenate(ea), np.concatenate(eb), len(values))
-            child, some = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(near)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([values[child], values[some]])),
-                pa.array(np.concatenate([values[label[child]], values[some]]), mask=np.arange(len(child) + len(some)) >= len(child)),
-                pa.array(np.concatenate([np.zeros(len(child), np.int64), near[some]])),
-            ], names=["a", "b", "near"])
+                tally.add(node[a], node[b])
+            return tally.rows(values)
 
         for batch in batches:
             kept.append((batch.column("key").to_numpy(), batch.column("side").to_numpy(), batch.column("fp").to_numpy(), batch.column("n").to_numpy()))
@@ -174,7 +160,7 @@ def class_links(classes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = L
         if (out := flush(True)) is not None:
             yield out
 
-    return rows.select("key", "side", "fp", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, near long")
+    return rows.select("key", "side", "fp", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, LINK_SCHEMA)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -199,14 +185,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group.
+    """The rows of ``docs`` that name their component: one document of each group, with all its columns.
 
-    Rows that repeat the id of a kept row are kept once.
+    Of rows that repeat a kept id the one whose text comes first stays.
     """
-    kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("__id")).distinct()
-    one = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return one.dropDuplicates([id_col])
+    kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = written(kept.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
+    one = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    if kept.where("__n > 1").limit(1).count():
+        first = Window.partitionBy("__id").orderBy(F.col(text_col))
+        one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    return one.drop("__id", "__n")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
