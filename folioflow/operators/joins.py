@@ -79,13 +79,17 @@ def contains_window(needles: DataFrame, haystacks: DataFrame, needle: str, hay:
     shingles = n.select("__nid", F.explode(F.array_distinct(wins)).alias("__s")).withColumn("__k", F.size(F.split("__s", " ")))
     lengths = [r[0] for r in shingles.select("__k").distinct().collect()]  # at most ``window`` numbers
     h = haystacks.withColumn("__w", words(hay)).withColumn("__hid", F.struct(*haystacks.columns))
-    runs = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.size("__w") >= k, F.transform(F.sequence(F.lit(1), F.size("__w") - k + 1), lambda i, k=k: F.array_join(F.slice(F.col("__w"), i, k), " "))).otherwise(F.array().cast("array<string>"))
-        for k in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
+    runs = F.array_distinct(F.flatten(F.array(*[_runs(F.col("__w"), k) for k in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
     hay_runs = h.select("__hid", F.explode(runs).alias("__s"))
     return shingles.join(hay_runs, "__s").select("__nid", "__hid").distinct().select("__nid.*", "__hid.*")
 
 
+def _runs(words: Column, k: int) -> Column:
+    """Every k words in a row, joined."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+    return F.when(F.size(words) >= k, every).otherwise(F.array().cast("array<string>"))
+
+
 def contains_text(needles: DataFrame, haystacks: DataFrame, windows: Column, hay: Column) -> DataFrame:
     """Pairs whose haystack holds one of the needle's windows as a substring, words cut at the ends included.
 
