@@ -191,7 +191,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = written(kept.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
-    one = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    # What is kept grows with the input, so it is never sent whole to the tasks, not even where it is small.
+    one = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
     if kept.where("__n > 1").limit(1).count():
         first = Window.partitionBy("__id").orderBy(F.col(text_col))
         one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
