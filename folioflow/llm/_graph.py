@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) ->
         return spark.createDataFrame(
             pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(label, pa.int64())})
         )
-    seen = None
+    seen, loops = None, pairs.where("a = b").select(F.col("a").alias("node"))
+    pairs = pairs.where("a <> b")
     while True:
         # Large star: neighbours above u move to the least of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -65,9 +66,10 @@ def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) ->
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             roots = pairs.select(F.col("b").alias("node")).distinct()
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            named = pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 roots.select("node", F.col("node").alias("component"))
             )
+            return named.unionByName(loops.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
         seen = state
 
 
