@@ -54,7 +54,7 @@ def body_anchors(pages: DataFrame, extents: DataFrame) -> DataFrame:
     name = normalize_heading(F.col("match_name"))
     quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
     head = normalize_heading(F.substring("text", 1, 200))
-    spaced, tight = (F.regexp_extract(head, F.concat(F.lit("(?U)"), quoted(n), F.lit(rest)), 1) for n, rest in ((name, r"\s+(\d+)"), (F.replace(name, F.lit(" "), F.lit("")), r"\s*(\d+)")))
+    spaced, tight = (F.call_function("regexp_extract", head, F.concat(F.lit("(?U)"), quoted(n), F.lit(rest)), F.lit(1)) for n, rest in ((name, r"\s+(\d+)"), (F.replace(name, F.lit(" "), F.lit("")), r"\s*(\d+)")))
     banner = own.where("page = start").select("id", F.when(spaced != "", spaced).otherwise(tight).try_cast("int").alias("ch"), F.col("start").alias("page")).where("ch > 1")
     first = extents.select("id", F.lit(1).alias("ch"), F.col("start").alias("page"))
     # Chapter 1 and the banner's chapter come before any later find.
