@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from .decontaminate import OP1_SQL, op1_decontaminate
+from .embed_dedup import OP6_SQL, op6_embedding_dedup
+from .packing import op3_packing
+from .quality import op2_quality
+from .secret_scan import op10_secrets
+from .shard import op4_shards
+from .simhash import op9_simhash
+from .suffix_dedup import OP5_SQL, op5_repeated_spans
+from .token_count import op7_token_counts
+from .warc import OP8_SQL, op8_warc
 
-_NAMES = {
-    "op2_quality": "quality",
-    "op1_decontaminate": "decontaminate",
-    "op3_packing": "packing",
-    "op4_shards": "shard",
-    "op5_repeated_spans": "suffix_dedup",
-    "op6_embedding_dedup": "embed_dedup",
-    "op7_token_counts": "token_count",
-    "op8_warc": "warc",
-    "op9_simhash": "simhash",
-    "op10_secrets": "secret_scan",
-}
-
-QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in _NAMES.items()}
-SQL: dict[str, str] = {
-    "op1_decontaminate": import_module(".decontaminate", __package__).OP1_SQL,
-    "op5_repeated_spans": import_module(".suffix_dedup", __package__).OP5_SQL,
-    "op6_embedding_dedup": import_module(".embed_dedup", __package__).OP6_SQL,
-    "op7_token_counts": "token_count",
-    "op8_warc": import_module(".warc", __package__).OP8_SQL,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_quality, op3_packing, op4_shards, op5_repeated_spans, op6_embedding_dedup, op7_token_counts, op8_warc, op9_simhash, op10_secrets)}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_repeated_spans": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op8_warc": OP8_SQL}
