@@ -3,15 +3,15 @@
 A suffix is kept where its leading ``SEED`` words have the least hash of ``WINDOW`` neighbouring places (a
 content-selected minimiser), so any passage of ``MIN_WORDS = SEED + WINDOW - 1`` words or more that occurs twice has a
 kept suffix at the same place in both. Suffixes whose seed occurs once in the corpus can't match and
-go first. The others carry their next MIN_WORDS words and the words just before them (as 32-bit hashes), are
+go first. The others carry the words behind their seed and those before it that a run around it can hold (as 32-bit hashes), are
 sorted by seed, following words and preceding words, and are compared with their neighbours in that
 order; a match is extended to the left and right to all runs of MIN_WORDS words around the suffix that another
 document has too. The runs of a document's suffixes add up to its maximal repeated spans.
 
-Scale: seeds are counted with pre-aggregation and joined back (the join may split a hot seed). Suffixes are sorted by range,
-so those of a hot seed spread over several tasks; tasks pass their outermost ``EDGE`` suffixes to a
-second, small comparison, so that neighbours meet across tasks. A task holds ``_ROWS`` suffixes at
-a time; of a seed with more, those next to each other in suffix order are compared.
+Scale: seeds are counted with pre-aggregation and joined back (the join may split a hot seed). Suffixes of a seed
+with at most ``GROUP_ROWS`` meet in one task, a few thousand rows at a time. The runs of hotter seeds are
+counted instead: for each run the least and greatest document that has it, pre-aggregated and joined back, so that no task
+holds a hot seed; both ways find the same runs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from ._text import NONSPACE_CLASS, U64, Words, _mix, blocks, slice_hash, utf8
 
 MIN_WORDS, SEED = 50, 26
 WINDOW = MIN_WORDS - SEED + 1
-EDGE = 64
+#: Suffixes of one seed that are compared in one task.
+GROUP_ROWS = 4096
 _ROWS = 1 << 14
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -92,7 +93,7 @@ _CONTEXT = "h long, suffix binary, prefix binary, id long, pos int, before int,
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """Of (id, t, places) the kept suffixes with the words that follow and (backwards) precede them."""
+    """Of (id, t, places) the kept suffixes with the words that follow their seed and (backwards) precede it."""
     back = MIN_WORDS - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +111,9 @@ def _contexts(rows: DataFrame) -> DataFrame:
                     k, p = text[a : a + (1 << 14)], pos[a : a + (1 << 14)]
                     at, short = words.first[k] + p, (words.hash & U64(0xFFFFFFFF)).astype("<u4")
                     before, after = np.minimum(p, back), np.minimum(count[k] - p, MIN_WORDS)
-                    span = np.arange(MIN_WORDS)
-                    follow = np.where(span < after[:, None], short[np.minimum(at[:, None] + span, len(short) - 1)], 0).astype("<u4")
-                    lead = np.where(span[:back] < before[:, None], short[np.maximum(at[:, None] - 1 - span[:back], 0)], 0).astype("<u4")
+                    span = np.arange(back)
+                    follow = np.where(SEED + span < after[:, None], short[np.minimum(at[:, None] + SEED + span, len(short) - 1)], 0).astype("<u4")
+                    lead = np.where(span < before[:, None], short[np.maximum(at[:, None] - 1 - span, 0)], 0).astype("<u4")
                     h = _grams(words.hash[np.minimum(at[:, None] + np.arange(SEED), len(short) - 1)], SEED)[:, 0]
                     fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([
@@ -123,17 +124,26 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _CONTEXT)
 
 
-def repeated_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, word after) of the runs around each suffix that a suffix of another document has too."""
+def _runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash) of each run of MIN_WORDS words around each suffix; it begins ``MIN_WORDS - SEED - offset`` words before it.
+
+    The seed's hash stands for the seed's words.
+    """
     back, n = MIN_WORDS - SEED, t.num_rows
     data = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), "<u4").reshape(n, -1)
-    words = np.concatenate([data("prefix")[:, ::-1], data("suffix")], axis=1)
-    before, after, pos = (np.asarray(t[c].combine_chunks()).astype(np.int64) for c in ("before", "after", "pos"))
+    seed = np.asarray(t["h"].combine_chunks()).view(U64)[:, None]
+    words = np.concatenate([data("prefix")[:, ::-1].astype(U64), seed, data("suffix").astype(U64)], axis=1)
+    before, after = (np.asarray(t[c].combine_chunks()).astype(np.int64) for c in ("before", "after"))
+    offset = np.arange(WINDOW)
+    row, off = np.nonzero((back - offset <= before[:, None]) & (MIN_WORDS - (back - offset) <= after[:, None]))
+    return row, off, _grams(words, WINDOW)[row, off]
+
+
+def repeated_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, word after) of the runs around each suffix that a suffix of another document has too."""
+    back, pos = MIN_WORDS - SEED, np.asarray(t["pos"].combine_chunks()).astype(np.int64)
     who = pd.factorize(t["id"].to_pandas().astype("Int64"), use_na_sentinel=False)[0]
-    offset = np.arange(WINDOW)  # a run begins ``back - offset`` words before the suffix
-    valid = (back - offset <= before[:, None]) & (MIN_WORDS - (back - offset) <= after[:, None])
-    row, off = np.nonzero(valid)
-    key = _grams(words, MIN_WORDS)[:, :WINDOW][row, off]
+    row, off, key = _runs(t)
     order = np.lexsort((who[row], key))
     k, w = key[order], who[row][order]
     new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
@@ -151,53 +161,48 @@ def repeated_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[s], start, pos[row[e]] - back + off[e] + MIN_WORDS if len(s) else start
 
 
-_COMPARED = f"{_CONTEXT}, first int, stop int"
-
-
-def _compare(sorted_rows: DataFrame, edges: bool) -> DataFrame:
-    """Runs as (id, first, stop), and with ``edges`` the outermost suffixes of each task, whose first is null."""
-    names = [c.split()[0] for c in _CONTEXT.split(", ")]
+def _compare(sorted_rows: DataFrame) -> DataFrame:
+    """(id, first, stop) of the repeated runs of suffixes that lie together by seed, in suffix order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema: pa.Schema | None = None
-
-        def out(t: pa.Table, first: np.ndarray | None, stop: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            none = pa.nulls(t.num_rows, pa.int32())
-            if first is not None:  # runs need no context any more
-                for c in ("suffix", "prefix"):
-                    t = t.set_column(t.schema.get_field_index(c), c, pa.nulls(t.num_rows, pa.binary()))
-            t = t.append_column("first", none if first is None else pa.array(first.astype(np.int32))).append_column("stop", none if stop is None else pa.array(stop.astype(np.int32)))
-            yield from t.combine_chunks().to_batches()
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            row, first, stop = repeated_runs(t)
+            yield from pa.table({"id": t["id"].take(pa.array(row)), "first": pa.array(first.astype(np.int32)), "stop": pa.array(stop.astype(np.int32))}).combine_chunks().to_batches()
 
         held: pa.Table | None = None
-        tail: pa.Table | None = None
-        seen = 0
         for batch in batches:
-            t = pa.Table.from_batches([batch.select(names)])
-            if edges and seen < EDGE:
-                yield from out(t.slice(0, EDGE - seen), None, None)
-            seen += t.num_rows
-            if edges:
-                tail = t if tail is None else pa.concat_tables([tail, t])
-                tail = tail.slice(max(0, tail.num_rows - EDGE))
+            t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= _ROWS:
-                h = np.asarray(held["h"].combine_chunks())[:_ROWS]
-                cut = int(np.searchsorted(h != h[-1], False)) if h[0] == h[-1] else int(np.flatnonzero(h != h[-1])[-1]) + 1
-                part, keep = (held.slice(0, cut), cut) if cut else (held.slice(0, _ROWS), _ROWS - EDGE)
-                row, first, stop = repeated_runs(part)
-                yield from out(part.take(pa.array(row)), first, stop)
-                held = held.slice(keep)
+            if held.num_rows >= _ROWS:
+                h = np.asarray(held["h"].combine_chunks())
+                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1  # the last seed may go on in the next batch
+                yield from out(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
-            row, first, stop = repeated_runs(held)
-            yield from out(held.take(pa.array(row)), first, stop)
-        if tail is not None:
-            yield from out(tail, None, None)
+            yield from out(held)
+
+    return sorted_rows.mapInArrow(run, "id long, first int, stop int")
+
+
+def _count_runs(contexts: DataFrame) -> DataFrame:
+    """(id, first, stop) of the repeated runs of hot seeds, by the least and greatest document of each run."""
+    back = MIN_WORDS - SEED
 
-    return sorted_rows.mapInArrow(run, _COMPARED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                t = pa.Table.from_batches([batch.slice(lo, 4096)])
+                row, off, key = _runs(t)
+                first = np.asarray(t["pos"].combine_chunks()).astype(np.int64)[row] - back + off
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), t["id"].combine_chunks().take(pa.array(row)), pa.array(first.astype(np.int32))], names=["key", "id", "first"])
+
+    runs = contexts.mapInArrow(run, "key long, id long, first int")
+    who = F.coalesce("id", F.lit(-(1 << 63)))
+    shared = runs.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("key")
+    return runs.join(shared, "key").select("id", "first", (F.col("first") + MIN_WORDS).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, start_word, end_word) of the maximal spans of a document covered by runs of MIN_WORDS words that another document has as well.
 
     Words are runs of other than ASCII white space, ASCII letters lowered; places count from 0, the end is exclusive. Repeats
@@ -205,14 +210,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     suffixes = written(_suffixes(rows), "suffixes")
-    twice = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = suffixes.join(twice, "h").groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    twice = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > group_rows).alias("hot"))
+    places = written(suffixes.join(twice, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "hot"))).alias("places")), "places")
     found = rows.join(places, rows["id"].eqNullSafe(places["id"])).select(rows["id"], "t", "places")
-    order = ["h", "suffix", "prefix", "id", "pos"]
-    compared = written(_compare(_contexts(found).repartitionByRange(*order).sortWithinPartitions(*order), True), "runs")
-    edges = compared.where("first IS NULL").select(*[c.split()[0] for c in _CONTEXT.split(", ")]).distinct()
-    second = _compare(edges.repartition("h").sortWithinPartitions(*order), False)
-    runs = compared.where("first IS NOT NULL").unionByName(second).select("id", "first", "stop").distinct()
+
+    def contexts(hot: bool) -> DataFrame:
+        own = F.transform(F.filter("places", lambda p: p.hot if hot else ~p.hot), lambda p: p.pos)
+        return _contexts(found.select("id", "t", own.alias("places")).where(F.size("places") > 0))
+
+    near = contexts(False).repartition("h").sortWithinPartitions("h", "suffix", "prefix", "id", "pos")
+    runs = _compare(near).unionByName(_count_runs(contexts(True))).distinct()
     merged = F.aggregate(F.array_sort(F.collect_list(F.struct("first", "stop"))), F.array().cast("array<struct<first:int,stop:int>>"),
                          lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).stop >= x["first"]),
                                                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1).stop, x.stop).alias("stop")))))
