@@ -68,26 +68,25 @@ def in_dictionary(tokens: DataFrame, dictionary: DataFrame, token: str = "token"
 def contains_window(needles: DataFrame, haystacks: DataFrame, needle: str, hay: str, window: int = 8, stride: int = 4, margin: int = 4, short: bool = True) -> DataFrame:
     """Pairs whose haystack holds one of the needle's word windows as whole words, by an equi-join of shingles.
 
-    Both texts are normalized for matching. Haystacks give every run of each length that the needles' windows have (1 to ``window``; the lengths
-    are taken from the needles), so this is a hash join, not a nested loop. A needle of fewer than 4 words must be held whole, or with ``short`` false is left out; a needle without
-    words is in nothing. Rows: all columns of both sides, each pair once.
+    Both texts are normalized for matching. Each place of a haystack gives one run of up to ``window`` words; runs and windows are joined by
+    their first four words, and a pair counts if the run begins with the window. A needle of fewer than 4 words must be held whole (runs then have
+    a key of that length as well), or with ``short`` false is left out; a needle without words is in nothing. Rows: all columns of both sides, each pair once.
     """
     words = lambda c: F.filter(F.split(normalize_match(F.col(c)), " "), lambda w: w != "")
     n = needles.withColumn("__w", words(needle)).withColumn("__nid", F.struct(*needles.columns))
     wins = F.when(F.size("__w") >= 4, word_windows(F.col("__w"), margin, window, stride))
     wins = wins.when(F.size("__w") > 0, F.array(F.array_join("__w", " "))) if short else wins
-    shingles = n.select("__nid", F.explode(F.array_distinct(wins)).alias("__s")).withColumn("__k", F.size(F.split("__s", " ")))
-    lengths = [r[0] for r in shingles.select("__k").distinct().collect()]  # at most ``window`` numbers
+    tried = n.select("__nid", F.explode(F.array_distinct(wins)).alias("__s")).withColumn("__n", F.least(F.lit(4), F.size(F.split("__s", " ")))).withColumn("__k", F.substring_index("__s", " ", 4))
+    sizes = sorted(r[0] for r in tried.select("__n").distinct().collect())  # of 1, 2, 3 and 4
+    if not sizes:
+        return needles.limit(0).crossJoin(haystacks.limit(0))
     h = haystacks.withColumn("__w", words(hay)).withColumn("__hid", F.struct(*haystacks.columns))
-    runs = F.array_distinct(F.flatten(F.array(*[_runs(F.col("__w"), k) for k in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
-    hay_runs = h.select("__hid", F.explode(runs).alias("__s"))
-    return shingles.join(hay_runs, "__s").select("__nid", "__hid").distinct().select("__nid.*", "__hid.*")
-
-
-def _runs(words: Column, k: int) -> Column:
-    """Every k words in a row, joined."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    return F.when(F.size(words) >= k, every).otherwise(F.array().cast("array<string>"))
+    places = F.when(F.size("__w") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w"), F.lit(1))), lambda i: F.array_join(F.slice(F.col("__w"), i, F.lit(window)), " ")))
+    runs = h.select("__hid", F.explode(places).alias("__r"))
+    keys = F.array_distinct(F.array(*[F.substring_index("__r", " ", k) for k in sizes]))
+    keyed = runs.select("__hid", "__r", F.explode(keys).alias("__k")) if len(sizes) > 1 else runs.select("__hid", "__r", F.substring_index("__r", " ", sizes[0]).alias("__k"))
+    met = tried.join(keyed, "__k").where((F.col("__r") == F.col("__s")) | F.startswith("__r", F.concat("__s", F.lit(" "))))
+    return met.select("__nid", "__hid").distinct().select("__nid.*", "__hid.*")
 
 
 def contains_text(needles: DataFrame, haystacks: DataFrame, windows: Column, hay: Column) -> DataFrame:

@@ -485,6 +485,66 @@ def word_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.word_facts(frequency.select(F.col("token").alias("word")), dictionary, frequency).select("word", "direct", "freq")
 
 
+_LAYOUT_CASES = [
+    ("primary", 3, "foo 3 In the beginning 2 the 4 Next One", "1 In the beginning|2 the"), ("enoch", 2, "x\nChapter\t2\nThe Title\n1 one two 2 three\nChapter 3\n1 no", "1 one two|2 three"),
+    ("jasher", 1, "I\n1 And a\n2 And b\n44\nII\n1 c", "1 And a|2 And b"), ("adam-eve-1", 4, "Chapter IV\nThe grief. Cain goes.\nFirst para\n2 And so\nChapter V\n1 x", "1 First para|2 And so"),
+    ("adam-eve-2", 4, "CHAP. IV.\n1 And\nCHAP. V.\n1 x", "1 And"), ("clement", 2, "zz 1Clem 2:1 aa 1Clem 2:2 bb 1Clem 3:1 c", "1 aa|2 bb"), ("colon", 2, "zz 2:1 aa 2:1 bb 3:1 c", "1 aa|1 bb"),
+    ("apocrypha", 2, "Chapter 2 [1-3] aa [4] bb Chapter 3", "1 aa|4 bb"), ("apocrypha", 5, "Chapter 5 1 aa 9 lost 2 bb Chapter 6", "1 aa|2 bb"), ("enoch", 9, "no marks at all", "1 no marks at all"), ("unknown", 1, "1 x", None),
+]
+
+
+@query(_values([(g, c, o) for g, c, _, o in _LAYOUT_CASES], "grammar, ch, verses"))
+def layout_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter layout, on literal texts."""
+    from .plans.etl import chapter_verses
+
+    rows = literal(spark, [(g, c, t) for g, c, t, _ in _LAYOUT_CASES], "grammar string, ch int, t string")
+    verses = chapter_verses(F.col("grammar"), F.col("t"), F.col("ch"))
+    return rows.select("grammar", "ch", F.array_join(F.transform(verses, lambda v: F.concat_ws(" ", v.n, v.t)), "|").alias("verses"))
+
+
+@query(_values([("Elohim", "The ending is really YM, and so on."), ("Sabbath", "Shin-beth-tau means cease or rest.")], "term, body"))
+def note_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes apart, short ones and those of stop terms left out."""
+    text = "Elohim: The ending is  really YM, and so on.\nSabbath: Shin-beth-tau means cease or rest.\nNow: this is not a note whatever its length is.\nShort: too short"
+    return filters.substantial_notes(layout.page_notes(literal(spark, [("f", 1, text)], "pdf string, page int, text string"))).select("term", "body")
+
+
+@query(_values([(1, "ab c")], "page, text"))
+def footnote_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small characters below the body, as lines of text."""
+    body = [("f", 1, i, c, float(i), i + 1.0, 10.0, 20.0, 10.0, 1.0) for i, c in enumerate("body")]
+    foot = [("f", 1, 9 + i, c, x, x + 1.0, 30.0, 38.0, 8.0, 1.0) for i, (c, x) in enumerate([("a", 0.0), ("b", 1.0), ("c", 3.0)])]
+    chars = literal(spark, body + foot, "pdf string, page int, pos int, text string, x0 double, x1 double, top double, bottom double, size double, width double")
+    return layout.footnote_text(layout.footnote_chars(chars)).select("page", "text")
+
+
+@query(_values([("j", 1, 7), ("j", 2, 7), ("j", 3, 9), ("j", 4, 9)], "id, ch, page"))
+def anchor_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roman headings after the contents that a first verse follows, completed."""
+    from .operators.anchors import roman_anchors
+
+    pages = literal(spark, [("j", 1, "I\n1 no contents"), ("j", 7, "x\nII\n1 And so"), ("j", 8, "IX\nnot a verse"), ("j", 9, "\nIII\n1 “Go")], "id string, page int, text string")
+    return roman_anchors(pages, literal(spark, [("j", 4)], "id string, chapter_count int")).select("id", "ch", "page")
+
+
+@query("""WITH v AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p FROM conversations), g AS (SELECT conv_id FROM v WHERE turn + 1 <> p + 1 GROUP BY 1)
+SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS extracted_verses, round_even(count(*) / 6.0 * 100, 1)::DOUBLE AS recovery, CASE WHEN count(*) / 6.0 < 0.7 OR any_value(g.conv_id) IS NOT NULL THEN 'ISSUES' ELSE 'OK' END AS status
+FROM v LEFT JOIN g USING (conv_id) GROUP BY conv_id""")
+def book_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a book of six expected verses, checked against pages that are its own texts."""
+    from .operators.audit import check_books
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.lit(1).alias("ch"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("pos"),
+                                                        (F.col("turn") + 1).cast("int").alias("n"), F.col("text").alias("t"))
+    ids = rows.select("id").distinct()
+    meta = ids.select("id", F.col("id").alias("hebrew"), F.col("id").alias("english"), F.lit("s").alias("section"), F.lit(1).alias("chapter_count"))
+    chapters = ids.select("id", F.lit(1).alias("ch"), F.col("id").alias("pdf"), F.lit(1).alias("page"))
+    pages = aggregates.concat_ordered(rows, ["id"], "pos", "t").select(F.col("id").alias("pdf"), F.lit(1).alias("page"), F.col("t").alias("text"))
+    checked = check_books(meta, rows, chapters, ids.select("id", F.lit(6).alias("expected")), pages)
+    return checked.select("id", "extracted_verses", "recovery", "status")
+
+
 # State, sources and sets ----------------------------------------------------------------------------------------------
 
 
