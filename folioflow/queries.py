@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import aggregates, filters, joins, layout, marks, repair, segment, translit, windows
 from .sources import corpus
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, spread=name in ("documents", "pages"))
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
