@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -43,4 +45,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, spread=name in ("documents", "pages"))
