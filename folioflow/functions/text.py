@@ -12,6 +12,9 @@ LETTERS = r"A-Za-z\x{80}-\x{FFFF}"
 UPPERS = r"A-Z\x{80}-\x{FFFF}"
 OPEN_QUOTES = "\"“‘'"
 TAG = r"<[^>]+>"
+#: Parts of patterns; with the flag U they are those of Unicode.
+SPACE, DIGIT = r"\s", r"\p{Nd}"
+_SPANS = "hwhy|dn"
 
 
 @lru_cache(maxsize=1)
@@ -121,13 +124,13 @@ def ascii_tokens(text: Column) -> Column:
 
 def normalize_citation(text: Column) -> Column:
     """Misread and split chapter prefixes of 1 Clement citations to ``1Clem c:v``."""
-    return F.regexp_replace(text, r"(?U)\b[1lI][Cc]\s*lem\s+(\d+\s*:\s*\d+)", "1Clem $1")
+    return F.regexp_replace(text, rf"(?U)\b[1Il][cC]{SPACE}*lem{SPACE}+({DIGIT}+{SPACE}*:{SPACE}*{DIGIT}+)", "1Clem $1")
 
 
 def escape_markup(text: Column) -> Column:
     """HTML-escaped, but for spans of the two kinds that the corpus uses."""
     safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.regexp_replace(safe, r'(?s)&lt;span class="(dn|hwhy)"&gt;(.*?)&lt;/span&gt;', '<span class="$1">$2</span>')
+    return F.regexp_replace(safe, rf'(?s)&lt;span class="({_SPANS})"&gt;(.*?)&lt;/span&gt;', '<span class="$1">' + "$2</span>")
 
 
 def is_prose(verses: Column) -> Column:

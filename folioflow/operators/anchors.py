@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import from_roman, normalize_heading
+from ..functions.text import DIGIT, SPACE, from_roman, normalize_heading
 from .windows import first_pages, interpolate, interpolate_cumulative
 
 _CAPITAL = r"A-Z\x{C0}-\x{FFFF}"
@@ -37,7 +37,7 @@ def numbered_anchors(pages: DataFrame, extents: DataFrame, pattern: str = r"(?U)
     return interpolate(bounded(find_chapters(pages, pattern), extents), extents)
 
 
-def roman_anchors(pages: DataFrame, extents: DataFrame, pattern: str = r"(?U)(?:^|\n)\s*([IVXLC]+)\s*\n", skip: int = 6, confirm: str = "(?U)^\\s*1\\s+[A-Z“\"']") -> DataFrame:
+def roman_anchors(pages: DataFrame, extents: DataFrame, pattern: str = rf"(?U)(?:^|\n){SPACE}*([CILVX]+){SPACE}*\n", skip: int = 6, confirm: str = f"(?U)^{SPACE}*1{SPACE}+[A-Z“\"']") -> DataFrame:
     """Anchors at Roman headings after the contents pages that verse 1 follows."""
     return interpolate(bounded(find_chapters(pages, pattern, from_roman(F.col("found")), skip, confirm), extents), extents)
 
@@ -50,7 +50,7 @@ def body_anchors(pages: DataFrame, extents: DataFrame) -> DataFrame:
     """
     own = pages.join(extents.select("id", "match_name", "start", "last", "chapter_count"), "id").where(F.col("page").between(F.col("start"), F.col("last")))
     body = F.when(F.contains(F.col("text"), F.lit("\n")), F.expr("substring(text, locate('\n', text) + 1)")).otherwise(F.col("text"))
-    starts = find_chapters(own.withColumn("text", body).select("id", "page", "text"), rf"(?U)(?:^|\n)\s*(\d+)\s*\n\s*(?=[{_CAPITAL}\"“‘'])")
+    starts = find_chapters(own.withColumn("text", body).select("id", "page", "text"), rf"(?U)(?:^|\n){SPACE}*({DIGIT}+){SPACE}*\n{SPACE}*(?=[{_CAPITAL}\"“‘'])")
     name = normalize_heading(F.col("match_name"))
     quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
     head = normalize_heading(F.substring("text", 1, 200))
@@ -63,7 +63,7 @@ def body_anchors(pages: DataFrame, extents: DataFrame) -> DataFrame:
     return interpolate_cumulative(kept, extents, default="start")
 
 
-def opener_pages(pages: DataFrame, pattern: str = r"(?U)1\s+1[,\s]*\d*\s+The copy of") -> DataFrame:
+def opener_pages(pages: DataFrame, pattern: str = rf"(?U)1{SPACE}+1[,\s]*{DIGIT}*{SPACE}+The copy of") -> DataFrame:
     """(page) on which a text of the collection opens."""
     return pages.where(F.col("text").rlike(pattern)).select("page").distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_space
+from ..functions.text import SPACE, collapse_space
 
 _PAGE = ["pdf", "page"]
 _WORD = "struct<top:double,pos:int,x0:double,text:string>"
@@ -98,8 +98,10 @@ def footnote_text(chars: DataFrame, tolerance: float = 2.0) -> DataFrame:
     return listed.select(*_PAGE, F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
 
 
-_TERM = r"[A-Z][A-Za-z\x{100}-\x{4FF}\x{1E02}-\x{1EFF}'-]+"
-NOTE = rf"(?sU)({_TERM}(?:\s[a-zA-Z][A-Za-z\x{{100}}-\x{{4FF}}\x{{1E02}}-\x{{1EFF}}'-]+){{0,3}})\s*[:—]\s+([A-Za-z“”'\"].*?)(?=\n{_TERM}\s*[:—]\s+[A-Za-z]|\z)"
+_PART = r"[A-Za-z\x{100}-\x{4FF}\x{1E02}-\x{1EFF}'-]+"
+_TERM = f"[A-Z]{_PART}"
+_COLON = rf"{SPACE}*[:—]{SPACE}+"
+NOTE = rf"(?sU)({_TERM}(?:{SPACE}[A-Za-z]{_PART}){{0,3}}){_COLON}([A-Za-z“”'\"].*?)(?=\n{_TERM}{_COLON}[A-Za-z]|\z)"
 
 
 def split_notes(text: Column) -> Column:

@@ -13,9 +13,9 @@ from ..functions.text import initial_like, normalize_citation
 from .aggregates import token_frequency
 from .translit import map_matches
 
-_TOKENS = "<[^>]+>|[A-Za-z]+|[^A-Za-z<]+|<"
+_TOKENS = r"<[^>]+>|\p{Alpha}+|[^\p{Alpha}<]+|<"
 _BREAK = r"(?U)<[^>]+>|\b[A-Za-z]{2,}-\s+[a-z][a-z]{1,15}\b"
-_SUFFIXES = ("ies", "ing", "ied", "ed", "es", "er", "ly", "s")
+_SUFFIXES = tuple("ed er es ied ies ing ly s".split())
 #: Pieces of a word that a merge can join.
 MAX_PIECES = 8
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTERS, OPEN_QUOTES, UPPERS, collapse_space, to_roman
+from ..functions.text import DIGIT, LETTERS, OPEN_QUOTES, SPACE, UPPERS, collapse_space, to_roman
 
 SPANS = "array<struct<n:int,t:string>>"
 
@@ -30,12 +30,17 @@ class Marker:
     leading_text: bool = False
 
 
-PRIMARY = Marker(rf"(?U)(?:^|(?<=\s))(\d+)\s*(?=[{LETTERS}{OPEN_QUOTES}])", whole_text=False)
-SPACED = Marker(rf"(?U)(?:^|\n|(?<=\s))(\d+)\s+(?=[{LETTERS}“\"'])")
-LINED = Marker(rf"(?U)(?:^|\n)\s*(\d+)\s+(?=[{LETTERS}“\"'])")
-LINED_ASCII = Marker("(?U)(?:^|\\n)\\s*(\\d+)\\s+(?=[A-Za-z“\"'])", leading_text=True)
-BRACKETED = Marker(r"(?U)\[(\d+)(?:\s*-\s*\d+)?\]\s*", whole_text=False)
-RANGED = Marker(rf"(?U)(?:^|\s)(\d+)(?:[,\s]+\d+)*\s*(?=[A-Za-z{OPEN_QUOTES}]|--)", low=None, high=None, gap=8, whole_text=False)
+_NUMBER = rf"({DIGIT}+)"
+_WORD_START = r"(?<!\S)"
+_LINE_START = rf"(?:^|\n){SPACE}*"
+_MORE = rf"(?:[,\s]+{DIGIT}+)*"
+
+PRIMARY = Marker(rf"(?U){_WORD_START}{_NUMBER}{SPACE}*(?=[{LETTERS}{OPEN_QUOTES}])", whole_text=False)
+SPACED = Marker(rf"(?U){_WORD_START}{_NUMBER}{SPACE}+(?=[{LETTERS}“\"'])")
+LINED = Marker(rf"(?U){_LINE_START}{_NUMBER}{SPACE}+(?=[{LETTERS}“\"'])")
+LINED_ASCII = Marker(rf"(?U){_LINE_START}{_NUMBER}{SPACE}+(?=[A-Za-z“\"'])", leading_text=True)
+BRACKETED = Marker(rf"(?U)\[{_NUMBER}(?:{SPACE}*-{SPACE}*{DIGIT}+)?\]{SPACE}*", whole_text=False)
+RANGED = Marker(rf"(?U)(?:^|{SPACE}){_NUMBER}{_MORE}{SPACE}*(?=[A-Za-z{OPEN_QUOTES}]|--)", low=None, high=None, gap=8, whole_text=False)
 
 
 def _col(pattern: str | Column) -> Column:
@@ -119,7 +124,7 @@ def enoch_chapter(text: Column, chapter: Column) -> Column:
     this, following = _headed(text, r"(?U)Chapter\s+", chapter, r"\b")
     text = F.replace(text, F.lit("\t"), F.lit(" "))
     rest = F.when(F.size(F.split(text, this, 2)) == 2, F.regexp_replace(after_first(text, this), r"(?U)^\s*\n[A-Z][A-Za-z\s]+\n", "")).otherwise(text)
-    return segments(F.regexp_replace(before_first(rest, following), r"(?U)\bBook\s+\d+:\s*[A-Za-z\s]+", ""), SPACED)
+    return segments(F.regexp_replace(before_first(rest, following), rf"(?U)\bBook{SPACE}+{DIGIT}+:{SPACE}*[A-Za-z\s]+", ""), SPACED)
 
 
 def drop_number_lines(text: Column) -> Column:
@@ -143,8 +148,8 @@ def adam_eve_chapter(text: Column, chapter: Column, second: Column) -> Column:
     return segments(clean, LINED_ASCII)
 
 
-_OPENER = r"(?iU)(?:1\s+){0,2}The\s+(?:copy|book)\s+of\s+(?:the\s+)?(?:Testament|words)\s+of\s+([A-Z][a-z]+)"
-_CHAPTER = rf"(?U)\b(\d+)\s+[1l](?:[,\s]+\d+)*\s*(?=[A-Z{OPEN_QUOTES}]|--)"
+_OPENER = rf"(?iU)(?:1{SPACE}+){{0,2}}The{SPACE}+(?:book|copy){SPACE}+of(?:{SPACE}+the)?{SPACE}+(?:words|Testament){SPACE}+of{SPACE}+([A-Za-z]{{2,}})"
+_CHAPTER = rf"(?U)\b{_NUMBER}{SPACE}+[l1]{_MORE}{SPACE}*(?=[A-Z{OPEN_QUOTES}]|--)"
 
 
 def testament_slices(text: Column) -> Column:
@@ -209,15 +214,16 @@ def apocrypha_chapter(text: Column, chapter: Column, grammar: Column) -> Column:
 
 def strip_headers(text: Column) -> Column:
     """A page of the primary layout without its running headers (at most four lines) and its trailing footnotes."""
-    capital, letters = UPPERS, LETTERS
+    capital, letters, blank = UPPERS, LETTERS, r"[\t ]"
     page_first = r"^\d+\s*$"
-    banner = [rf"^\d+\s+(?:\d\s+)?[{capital}][{letters}'\s\-]*?(?:\s+\d+){{0,2}}\s*$", rf"^(?:\d\s+)?[{capital}][{letters}'\s\-]+(?:\s+\d+){{0,2}}\s*$"]
+    prefix, suffix = rf"(?:{DIGIT}{SPACE}+)?[{capital}]", rf"(?:{SPACE}+{DIGIT}+){{0,2}}{SPACE}*$"
+    banner = [rf"^{DIGIT}+{SPACE}+{prefix}[\s'{letters}-]*?{suffix}", rf"^{prefix}[\s'{letters}-]+{suffix}"]
 
     def step(acc: Column, raw: Column) -> Column:
         line = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
         number = F.regexp_extract(line, r"(?U)^(\d+)\s*$", 1).try_cast("bigint")
         is_banner = (F.length(line) <= 35) & (line.rlike("(?U)" + banner[0]) | line.rlike("(?U)" + banner[1]))
-        titled = line.rlike(r"(?U)^[A-Z][A-Z\s]+\s*[—–\-]\s*\d+\s*[A-Z][A-Za-z]*\s*$")
+        titled = line.rlike(rf"(?U)^[A-Z][\sA-Z]+{SPACE}*[–—-]{SPACE}*{DIGIT}+{SPACE}*[A-Z][A-Za-z]*{SPACE}*$")
         drop = (line.rlike("(?U)" + page_first) & ((number > 200) | (acc.drops == 0))) | is_banner | titled
         open_ = acc.open & (acc.drops < 4)
         return (F.when(open_ & (line == ""), acc)
@@ -226,9 +232,10 @@ def strip_headers(text: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("drops"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("out"))
     body = F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc.out, "\n"))
-    body = F.regexp_replace(body, rf"(?mU)^[ \t]*(?:\d[ \t]+)?[{capital}][{capital}'\s\-]{{2,}}(?:[ \t]+\d+){{0,3}}[ \t]*$", "")
+    body = F.regexp_replace(body, rf"(?mU)^{blank}*(?:{DIGIT}{blank}+)?[{capital}][\s'{capital}-]{{2,}}(?:{blank}+{DIGIT}+){{0,3}}{blank}*$", "")
     mark = rf"(?U)(?:^|\s|\n)\d+(?=[{capital}{OPEN_QUOTES}])"
     pieces_ = F.split(body, mark, -1)
     tail = F.element_at(pieces_, -1)
-    note = r"(?U)\n[A-Z][A-Za-z\-'\x{80}-\x{FFFF}]+(?:[\s/\-][A-Za-z\-'\x{80}-\x{FFFF}]+){0,4}\s*[:—]\s+[A-Za-z“‘\"']"
+    part = rf"['{letters}-]+"
+    note = rf"(?U)\n[A-Z]{part}(?:[\s/-]{part}){{0,4}}{SPACE}*[:—]{SPACE}+[A-Za-z“‘\"']"
     return F.substring(body, 1, F.length(body) - F.length(tail) + F.length(before_first(tail, note)))

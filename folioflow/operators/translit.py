@@ -17,7 +17,8 @@ from ..functions import tables
 from ..functions.text import case_like
 
 _NAME = r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}"
-DIVINE_SPAN = '<span class="dn">'
+DIVINE_SPAN, NAME_SPAN = '<span class="dn">', '<span class="hwhy">'
+PREFIXES = tuple((first + "l", "Al") for first in "ĔE")
 
 
 def map_matches(text: Column, pattern: str, replace: Callable[[Column], Column], between: Callable[[Column], Column] | None = None) -> Column:
@@ -36,10 +37,10 @@ def _quote(source: str) -> str:
 def word_pattern(sources: list[str], guarded: tuple[str, ...] = ("Ĕl", "El")) -> str:
     """Whole words of the sources, whatever the case, with a plural or possessive s behind them left outside; guarded ones not right after an apostrophe."""
     ordered = sorted(sources, key=lambda s: -len(s))
-    return r"(?iuU)(?:" + "|".join((r"(?<!['’])" if s in guarded else "") + r"\b" + _quote(s) for s in ordered) + r")(?='s\b|s\b|\b)"
+    return r"(?iuU)(?:" + "|".join((r"(?<!['’])" if s in guarded else "") + r"\b" + _quote(s) for s in ordered) + r")(?=(?:'?s)?\b)"
 
 
-def apply_rules(text: Column, divine: dict[str, str] | None = None, plain: dict[str, str] | None = None, prefixes: tuple[tuple[str, str], ...] = (("Ĕl", "Al"), ("El", "Al")),
+def apply_rules(text: Column, divine: dict[str, str] | None = None, plain: dict[str, str] | None = None, prefixes: tuple[tuple[str, str], ...] = PREFIXES,
                 exceptions: frozenset[str] | None = None) -> Column:
     """Word rules, then the prefix rules on the parts that no word rule touched."""
     divine = tables.DIVINE if divine is None else divine
@@ -103,7 +104,7 @@ def el_suffix(text: Column, exceptions: frozenset[str] | None = None, passes: in
 
 def annotate_name(text: Column) -> Column:
     """The spoken form before each HWHY; what has it already stays."""
-    return F.regexp_replace(text, r'(?U)(?<!"hwhy">)\bHWHY\b', f'({DIVINE_SPAN}YAHUAH</span>) <span class="hwhy">HWHY</span>')
+    return F.regexp_replace(text, r'(?U)(?<!"hwhy">)\bHWHY\b', f"({DIVINE_SPAN}YAHUAH</span>) {NAME_SPAN}HWHY</span>")
 
 
 def transliterate(text: Column) -> Column:

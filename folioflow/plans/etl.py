@@ -19,7 +19,7 @@ def chapter_verses(grammar: Column, text: Column, chapter: Column) -> Column:
     apocrypha = segment.apocrypha_chapter(text, chapter, grammar)
     return (F.when(grammar == "primary", segment.primary_chapter(text, chapter)).when(grammar == "enoch", segment.enoch_chapter(text, chapter))
             .when(grammar == "jasher", segment.jasher_chapter(text, chapter))
-            .when(grammar.isin("adam-eve-1", "adam-eve-2"), segment.adam_eve_chapter(text, chapter, grammar == "adam-eve-2"))
+            .when(grammar.startswith("adam-eve-"), segment.adam_eve_chapter(text, chapter, grammar == "adam-eve-2"))
             .when(grammar.isin("clement", "colon", "apocrypha"), apocrypha))
 
 

@@ -47,7 +47,7 @@ def _values(rows: list[tuple], columns: str) -> str:
 _WORDS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-# Aggregates -----------------------------------------------------------------------------------------------------------
+# Aggregates
 
 
 @query(r"""SELECT token, count(*) AS freq FROM (SELECT unnest(list_transform(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '[A-Za-z]+'), lambda x: lower(x))) AS token FROM documents) GROUP BY token""")
@@ -129,7 +129,7 @@ def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("lang", aggregates.issues([(F.col("l"), "long texts", F.col("l"))]).alias("issues"))
 
 
-# Filters and lookups --------------------------------------------------------------------------------------------------
+# Filters and lookups
 
 
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ar') OR contains(lower(p_brand), 'ar')")
@@ -179,7 +179,7 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.substantial_notes(notes, ("src10", "src12"), 5, 300).select("doc_id", F.col("term").alias("source"), F.length("body").alias("n"))
 
 
-# Joins ----------------------------------------------------------------------------------------------------------------
+# Joins
 
 
 @query("""SELECT event_id, arg_max(o_orderkey, (epoch_us(o_orderdate)::HUGEINT * 100000000 - o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM events LEFT JOIN orders ON o_custkey = user_id AND o_orderdate <= ts GROUP BY event_id""")
@@ -247,7 +247,7 @@ def piecewise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "m.pdf", "m.page", joins.printed_page(F.col("m.pdf"), F.col("m.page"), files).alias("printed"))
 
 
-# Sequences ------------------------------------------------------------------------------------------------------------
+# Sequences
 
 
 @query("""SELECT l_orderkey, arg_min(l_linenumber, p) AS got, (min(p) + 1)::INT AS expected FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) - 1 AS p FROM lineitem)
@@ -358,7 +358,7 @@ def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["line_cluster"] = line_cluster
 
 
-# Functions ------------------------------------------------------------------------------------------------------------
+# Functions
 
 
 @query(f"SELECT doc_id, md5(array_to_string({_WORDS.format(c='text')}, ' ')) AS digest FROM documents")
@@ -389,7 +389,7 @@ def case_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", tx.case_like(F.lit("word"), F.col("n_name")).alias("a"), tx.initial_like(F.lit("word"), F.col("n_name")).alias("b"), tx.case_like(F.lower("n_name"), titled).alias("c"))
 
 
-@query("""SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?s)&lt;span class="(dn|hwhy)"&gt;(.*?)&lt;/span&gt;', '<span class="\\1">\\2</span>', 'g')) AS digest FROM pages""")
+@query("""SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?s)&lt;span class="(hwhy|dn)"&gt;(.*?)&lt;/span&gt;', '<span class="\\1">\\2</span>', 'g')) AS digest FROM pages""")
 def escape_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escaped markup but for two spans."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.escape_markup(F.col("html")).cast("binary")).alias("digest"))
@@ -432,7 +432,7 @@ def script_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.script_safe(F.col("html")).cast("binary")).alias("digest"))
 
 
-# Rules and repair -----------------------------------------------------------------------------------------------------
+# Rules and repair
 
 _RULES = {"the": "zeh", "and": "we", "of": "shel", "with": "im", "que": "ki", "die": "ha", "les": "eth"}
 
@@ -546,7 +546,7 @@ def book_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("id", "extracted_verses", "recovery", "status")
 
 
-# State, sources and sets ----------------------------------------------------------------------------------------------
+# State, sources and sets
 
 
 def _mark_events(spark: SparkSession, sf_dir: str) -> DataFrame:
