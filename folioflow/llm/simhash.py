@@ -16,7 +16,7 @@ class are never written out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -68,15 +68,17 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint: long) of every row."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """(id, fingerprint: long) of every row, with the columns ``more``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = fingerprints(utf8(batch.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), *batch.columns[2:]], names=["id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in more)]))
 
 
 def _pairs_of_runs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, shared: list[tuple[int, ...]], max_bits: int):
@@ -163,6 +165,14 @@ def class_links(classes: DataFrame, max_bits: int = MAX_BITS, list_rows: int = L
     return rows.select("key", "side", "fp", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, LINK_SCHEMA)
 
 
+def _linked(classes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(links, rows of ``classes`` with the component that their fingerprint belongs to)."""
+    links = written(class_links(classes.select("fp", "n"), max_bits), "links")
+    joined = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return links, named.withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, n_near, component_id) of every row of ``docs``.
 
@@ -173,11 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprint_table(docs, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "classes")
-    links = written(class_links(classes, max_bits), "links")
+    links, named = _linked(classes, max_bits)
     near = links.where("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("near").alias("near"))
-    joined = connected_components(links.where("b IS NOT NULL").select("a", "b"))
-    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "n", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes_out = named.join(smallest, "component").join(near, "fp", "left").select(
         "fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
@@ -185,18 +192,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group, with all its columns.
+    """One row of each component of ``docs``, with all its columns: that of the smallest id, null after all others.
 
-    Of rows that repeat a kept id the one whose text comes first stays.
+    Ids need not be set or unique: of rows of one component and id the one with the smallest text digest stays, and
+    one of those that agree in both.
     """
-    kept = near_duplicates(docs, id_col, text_col, max_bits).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    row = {"__null": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__digest": F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))}
+    prints = fingerprint_table(docs.withColumns(row), id_col, text_col, [*row])
+    # Equal rows are counted first, so a minimum says how many rows it stands for.
+    rows = prints.groupBy("fp", *row).agg(F.count("*").alias("__n"))
+    least = F.min(F.struct(*row, "__n"))
+    classes = written(rows.groupBy("fp").agg(F.sum("__n").alias("n"), least.alias("least")), "classes")
+    named = _linked(classes, max_bits)[1]
+    kept = written(named.groupBy("component").agg(F.min("least").alias("least")).select("least.*"), "kept")
     # What is kept grows with the input, so it is never sent whole to the tasks, not even where it is small.
-    one = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    one = docs.withColumns(row).join(kept.hint("merge"), [*row])
     if kept.where("__n > 1").limit(1).count():
-        first = Window.partitionBy("__id").orderBy(F.col(text_col))
-        one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-    return one.drop("__id", "__n")
+        first = Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns))
+        one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1")
+    return one.select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

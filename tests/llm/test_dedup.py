@@ -97,6 +97,26 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.keep_one(docs.limit(0)).count() == simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefghij") * rnd.randint(1, 9) + str(rnd.randrange(500)) for _ in range(150)) for _ in range(12)]
+    # Distinct texts without an id, exact and near copies of them, and ids that two components share.
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (None, texts[1] + " more"), (20, texts[2])]
+    rows += [(1, texts[6]), (1, texts[7]), (1, texts[7]), (2, texts[7]), (2, texts[8]), (3, texts[9]), (0, texts[9] + " more"), (0, texts[10]), (None, texts[10]), (None, None), (None, "")]
+    prints = [fingerprint(t) for _, t in rows]
+    label = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 6])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[label[k]] = min(least.get(label[k], (True, 0)), (i is None, i or 0))
+    assert len(least) == 12
+    of = dict(zip(rows, label, strict=True))
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(order)], "doc_id long, text string, source string")
+        got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+        assert sorted(of[r] for r in got) == sorted(least)
+        assert all((i is None, i or 0) == least[of[i, t]] for i, t in got)
+
+
 def test_embeddings_agree_with_all_pairs(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8))
