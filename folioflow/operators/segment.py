@@ -152,11 +152,19 @@ _OPENER = rf"(?iU)(?:1{SPACE}+){{0,2}}The{SPACE}+(?:book|copy){SPACE}+of(?:{SPAC
 _CHAPTER = rf"(?U)\b{_NUMBER}{SPACE}+[l1]{_MORE}{SPACE}*(?=[A-Z{OPEN_QUOTES}]|--)"
 
 
-def testament_slices(text: Column) -> Column:
-    """Array of (name, text) by opener, the opener included; of a name that occurs again the last one counts."""
-    clean = text
+def strip_testament_page(text: Column) -> Column:
+    """Without page numbers, web addresses and bracketed titles of the collection."""
     for noise in (r"(?U)Page\s*\|\s*\d+\s*", r"www\.[A-Za-z-]+\.com", r"\[The Apocrypha and Pseudepigrapha[^\]]*\]"):
-        clean = F.regexp_replace(clean, noise, "")
+        text = F.regexp_replace(text, noise, "")
+    return text
+
+
+def testament_slices(text: Column, stripped: bool = False) -> Column:
+    """Array of (name, text) by opener, the opener included; of a name that occurs again the last one counts.
+
+    ``stripped``: the text's pages went through ``strip_testament_page`` one by one.
+    """
+    clean = text if stripped else strip_testament_page(text)
     names = F.regexp_extract_all(clean, F.lit(_OPENER), F.lit(1))
     parts = F.split(clean, _OPENER, -1)
     heads = F.regexp_extract_all(clean, F.lit(_OPENER), F.lit(0))

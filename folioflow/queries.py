@@ -496,7 +496,7 @@ _LAYOUT_CASES = [
 
 @query(_values([(g, c, o) for g, c, _, o in _LAYOUT_CASES], "grammar, ch, verses"))
 def layout_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chapter layout, on literal texts."""
+    """Every layout of single chapters, on literal texts; testament_cases has T5 and T11."""
     from .plans.etl import chapter_verses
 
     rows = literal(spark, [(g, c, t) for g, c, t, _ in _LAYOUT_CASES], "grammar string, ch int, t string")
@@ -504,6 +504,29 @@ def layout_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("grammar", "ch", F.array_join(F.transform(verses, lambda v: F.concat_ws(" ", v.n, v.t)), "|").alias("verses"))
 
 
+_TESTAMENT_PAGES = [
+    "THE TESTAMENTS\n1 1 The copy of the words of Reuben, which he spake 2 unto his sons. 2 1, 2 And now hear\nmePage | 1", "3 my children. 5 l But flee 2 the end\nThe copy of the words of Judah, what things he spake. 2 1 And the Lord 2 gave me grace 3 said 9 7 the law",
+    "[The Apocrypha and Pseudepigrapha x] www.Scriptural-Truth.com 4 1 And I ran 20 1 Then no\nThe copy of the words of Dan, old. The book of the words of Dan, new.",
+]
+_TESTAMENT_CASES = [
+    ("testament-reuben", 1, 7, "1 The copy of the words of Reuben, which he spake|2 unto his sons."), ("testament-reuben", 2, 7, "1 And now hear me|3 my children."), ("testament-reuben", 5, 7, "1 l But flee|2 the end"),
+    ("testament-yahudah", 1, 40, "1 The copy of the words of Judah, what things he spake."), ("testament-yahudah", 2, 40, "1 And the Lord|2 gave me grace|3 said|9 the law"), ("testament-yahudah", 4, 40, "1 And I ran"),
+    ("testament-dan", 1, 1, "1 The book of the words of Dan, new."),
+]
+
+
+@query(_values(_TESTAMENT_CASES, "id, ch, page, verses"))
+def testament_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5, and its part of T11: every chapter of the books of a file of testaments, with the book's page; on literal pages."""
+    from .plans import etl
+
+    pages = literal(spark, [(etl.TESTAMENT_FILE, k, t) for k, t in enumerate(_TESTAMENT_PAGES, 1)], "pdf string, page int, text string")
+    anchors = literal(spark, [(b, 1, etl.TESTAMENT_FILE, p) for b, p in (("testament-reuben", 7), ("testament-yahudah", 40), ("testament-gad", 90))], "id string, ch int, pdf string, page int")
+    grammars = literal(spark, [(b, "testament", "", "") for b in ("testament-reuben", "testament-yahudah", "testament-dan", "testament-gad")], "id string, grammar string, hebrew string, english string")
+    rows = etl.testaments(pages, anchors, grammars)
+    return rows.select("id", "ch", "page", F.array_join(F.transform("verses", lambda v: F.concat_ws(" ", v.n, v.t)), "|").alias("verses"))
+
+
 @query(_values([("Elohim", "The ending is really YM, and so on."), ("Sabbath", "Shin-beth-tau means cease or rest.")], "term, body"))
 def note_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes apart, short ones and those of stop terms left out."""

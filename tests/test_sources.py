@@ -63,6 +63,20 @@ def test_page_ranges(spark):
     assert {r.key: r.text for r in page_range_text(pages, ranges).collect()} == {1: "a\nb", 2: ""}
 
 
+def test_extract_takes_all_chapters_of_a_testament(spark):
+    text = "1 1 The copy of the words of Reuben, as 2 he spake. 2 1 And now 2 hear"
+    pages = spark.createDataFrame([("t", 1, text + "Page | 1"), ("t", 2, "3 me. 4 1 But flee")], "pdf string, page int, text string")
+    anchors = spark.createDataFrame([("testament-reuben", 1, "t", 5), ("testament-gad", 1, "t", 6), ("none", 1, "t", 1)], "id string, ch int, pdf string, page int")
+    grammars = spark.createDataFrame([("testament-reuben", "testament", "", ""), ("testament-gad", "testament", "", "")], "id string, grammar string, hebrew string, english string")
+    rows = etl.extract(pages, anchors, grammars)
+    got = {(r.id, r.ch, r.page): [tuple(v) for v in r.verses] for r in rows.collect()}
+    assert got == {("testament-reuben", 1, 5): [(1, "The copy of the words of Reuben, as"), (2, "he spake.")], ("testament-reuben", 2, 5): [(1, "And now"), (2, "hear"), (3, "me.")],
+                   ("testament-reuben", 4, 5): [(1, "But flee")], ("none", 1, 1): []}
+    index, listed = etl.reindex(spark.createDataFrame([("testament-reuben", 1), ("testament-gad", 1), ("none", 8)], "id string, chapter_count int"), anchors, rows, grammars)
+    assert sorted(map(tuple, index.collect())) == [("none", 8), ("testament-gad", 1), ("testament-reuben", 3)]
+    assert sorted(map(tuple, listed.collect())) == [("none", 1, "t", 1), ("testament-gad", 1, "t", 6)] + [("testament-reuben", c, "t", 5) for c in (1, 2, 4)]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([("f", 1, "GENESIS 1\n1 In the 2And"), ("f", 2, "GENESIS 2\n3Then"), ("f", 3, "Appendix\n4 Not this"), ("e", 1, "Chapter 1\n1 one 2 two")], "pdf string, page int, text string")
     found = spark.createDataFrame([("gen", 1, "f", 1), ("en", 1, "e", 1), ("un", 1, "e", 1)], "id string, ch int, pdf string, page int")
