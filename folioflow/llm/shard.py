@@ -119,9 +119,12 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     return best[1]
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, units: int = UNITS) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, units: int = UNITS, capacity: int | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row of ``docs``.
 
+    With a ``capacity`` in bytes, ``shards`` doesn't count: a shard is opened wherever no other takes a group, and only a group
+    that is larger by itself exceeds the capacity. It must hold the fullest lot.
+
     Size is the UTF-8 bytes of the text plus 1. Null texts are a group, apart from that of empty texts;
     their crc32 is null. Rows that repeat an id are rows of their own.
     """
@@ -136,7 +139,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     lots = groups.where(~large).groupBy("lot").agg(F.sum("bytes").alias("bytes")).toArrow().to_pylist()
     # Ties go by the digest, then by the lot.
     items = sorted([(-x["bytes"], 0, x["g"], 0) for x in big] + [(-x["bytes"], 1, b"", x["lot"]) for x in lots])
-    place = pack([-x[0] for x in items], shards)
+    if capacity is not None and (fullest := max((x["bytes"] for x in lots), default=0)) > capacity:
+        raise ValueError(f"a lot has {fullest} bytes, more than the capacity of {capacity}: take more units")
+    sizes = [-x[0] for x in items]
+    place = pack(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity)
     own = {"g": [], "own": []}
     of_lot = {"lot": [], "of_lot": []}
     for (_, kind, g, lot), k in zip(items, place, strict=True):

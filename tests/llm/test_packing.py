@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from folioflow.llm import packing as P
 from folioflow.llm import shard as S
 
@@ -87,3 +89,15 @@ def test_shards(spark):
         assert by[800].size == 1 and by[800].text_crc32 is None and by[802].text_crc32 == 0
         assert all(by[k].text_crc32 == zlib.crc32(t.encode()) and by[k].size == len(t.encode()) + 1 for k, t, _ in rows if t is not None and k != 1)
     assert S.shard(docs.limit(0)).count() == 0
+
+
+def test_shards_of_a_fixed_capacity(spark):
+    sizes = [60, 60, 50, 40, 40, 30, 20, 150]
+    docs = spark.createDataFrame([(k, chr(97 + k) * (n - 1)) for k, n in enumerate(sizes)], "doc_id long, text string")
+    got = S.shard(docs, capacity=100).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, []).append(r.size)
+    assert sorted(r.id for r in got) == list(range(8)) and sorted(map(sum, held.values())) == [100, 100, 100, 150]
+    with pytest.raises(ValueError, match="capacity"):
+        S.shard(docs, units=1, capacity=100)
