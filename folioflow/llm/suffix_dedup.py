@@ -3,10 +3,9 @@
 A suffix is kept where its leading ``SEED`` words have the least hash of ``WINDOW`` neighbouring places (a
 content-selected minimiser), so any passage of ``MIN_WORDS = SEED + WINDOW - 1`` words or more that occurs twice has a
 kept suffix at the same place in both. Suffixes whose seed occurs once in the corpus can't match and
-go first. The others carry the words behind their seed and those before it that a run around it can hold (as 32-bit hashes), are
-sorted by seed, following words and preceding words, and are compared with their neighbours in that
-order; a match is extended to the left and right to all runs of MIN_WORDS words around the suffix that another
-document has too. The runs of a document's suffixes add up to its maximal repeated spans.
+go first. The others carry the words behind their seed and those before it that a run around it can hold (as 32-bit hashes).
+All runs of MIN_WORDS words around a suffix are hashed, and those whose hash another document has too are kept: suffixes
+aren't compared with their neighbours in suffix order. The runs of a document's suffixes add up to its maximal repeated spans.
 
 Scale: seeds are counted with pre-aggregation and joined back (the join may split a hot seed). Suffixes of a seed
 with at most ``GROUP_ROWS`` meet in one task, a few thousand rows at a time. The runs of hotter seeds are
@@ -29,7 +28,7 @@ from ._text import NONSPACE_CLASS, U64, Words, _mix, blocks, slice_hash, utf8
 
 MIN_WORDS, SEED = 50, 26
 WINDOW = MIN_WORDS - SEED + 1
-#: Suffixes of one seed that are compared in one task.
+#: Suffixes of one seed whose runs are counted in one task.
 GROUP_ROWS = 4096
 _ROWS = 1 << 14
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -162,7 +161,7 @@ def repeated_runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _compare(sorted_rows: DataFrame) -> DataFrame:
-    """(id, first, stop) of the repeated runs of suffixes that lie together by seed, in suffix order."""
+    """(id, first, stop) of the repeated runs of suffixes that lie together by seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
