@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name, spread=name in ("documents", "pages"))
+    return read_table(spark, sf_dir, name)
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
