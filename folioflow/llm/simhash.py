@@ -2,16 +2,15 @@
 
 A fingerprint is the bitwise majority of the XXH64 values of a text's 2-word shingles. Two
 fingerprints that differ in at most ``max_bits`` of 64 bits share at least ``8 - max_bits`` of
-their eight positional bytes (two, at 6 bits). The inverted index lists fingerprints by positional
-bytes; the guaranteed minimum is built into its key: with a minimum of two, a posting list is that of
-one *pair* of positions and their two byte values, so only candidates that already share two bytes
-meet. In a list the shared bytes of a pair are tallied, the pair is kept where this list is that of
-its first shared bytes (each pair is verified once), and verified by its Hamming distance.
+their eight positional bytes (two, at 6 bits). The inverted index lists fingerprints by as many positional
+bytes as that guaranteed minimum (one or two), so only candidates that can reach it meet. In a list the shared positional
+bytes of each pair are tallied; pairs below the minimum go, of the others the list of the first shared bytes
+has the pair for its own (a pair is verified once), and those are verified by their Hamming distance.
 
 Scale: fingerprints that are equal are one class before anything else, so copies cost nothing. A
 posting list longer than ``LIST_ROWS`` is cut into blocks and its block pairs are spread over the
 tasks. Links are counted per class and reduced to a spanning forest inside each task; the links of a
-class are never written out.
+class are never written out. Classes with a large share of all rows are joined back by broadcast.
 """
 
 from __future__ import annotations
@@ -21,11 +20,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import LINK_SCHEMA, LinkTally, connected_components
-from ._shared import table, written
+from ._shared import free_name, join_counted, release, table, written
 from ._text import NONSPACE_CLASS, U64, Words, blocks, join_words, utf8, xxh64
 
 MAX_BITS = 6
@@ -69,7 +68,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
-    """(id, fingerprint: long) of every row, with the columns ``more``."""
+    """(id, fingerprint: long) of every row, with the columns ``more``, which have other names."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +80,36 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in more)]))
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Of each exclusive or of two fingerprints the positions of equal bytes, as a mask of 8 bits."""
+    low = U64(0x7F7F7F7F7F7F7F7F)
+    differ = (((x & low) + low) | x) & ~low  # the top bit of each byte that isn't zero
+    return ~((differ * U64(0x0002040810204081)) >> U64(56)).astype(np.uint8)
+
+
 def _pairs_of_runs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, shared: list[tuple[int, ...]], max_bits: int):
     """Linked index pairs among rows of equal key; two rows of a mixed block pair meet only across its sides."""
-    which = key >> 40 >> 16  # the number of the combination of positions
-    n, at, d = len(key), np.arange(len(key)), 1
-    # A pair belongs to the list of the first combination of the positions in which it agrees.
-    first = np.full(256, 255)
+    which = (key >> 40 >> 16).astype(np.uint8)  # the number of the combination of positions
+    at, d = np.arange(len(key)), 1
+    # A pair belongs to the list of the first combination of the positions in which it agrees; 255: it agrees in too few.
+    first = np.full(256, 255, np.uint8)
     for c in range(len(shared) - 1, -1, -1):
         need = sum(1 << p for p in shared[c])
         first[[m for m in range(256) if m & need == need]] = c
+    first[np.bitwise_count(np.arange(256, dtype=np.uint8)) < 8 - max_bits] = 255  # count filter
     while True:
-        at = at[at + d < n]
+        at = at[at + d < len(key)]
         at = at[key[at] == key[at + d]]
         if not len(at):
             return
-        a, b = at, at + d
-        x = (fp[a] ^ fp[b]).view(U64)  # the population count of signed numbers is that of their magnitude
-        near = np.flatnonzero((np.bitwise_count(x) <= max_bits) & ((side[a] < 0) | (side[a] != side[b])))
-        if len(near):
-            a, b, x = a[near], b[near], x[near]
-            equal = x.view(np.uint8).reshape(-1, 8) == 0
-            own = first[np.packbits(equal, axis=1, bitorder="little")[:, 0]] == which[a]
-            yield a[own], b[own]
+        for lo in range(0, len(at), 1 << 15):
+            a = at[lo : lo + (1 << 15)]
+            x = (fp[a] ^ fp[a + d]).view(U64)  # the population count of signed numbers is that of their magnitude
+            own = np.flatnonzero(first[shared_bytes(x)] == which[a])
+            near = own[np.bitwise_count(x[own]) <= max_bits]
+            near = near[(side[a[near]] < 0) | (side[a[near]] != side[a[near] + d])]
+            if len(near):
+                yield a[near], a[near] + d
         d += 1
 
 
@@ -179,38 +186,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_near counts the other rows at ``max_bits`` or fewer differing bits; component_id is the smallest
     id reachable over such links. Null and empty texts, and texts without words, have fingerprint
     zero and link like any other; rows that repeat an id are rows of their own. A row whose id is
-    null links like any other and is named by no component that has another id.
+    null links like any other and is named by no component that has another id. Texts are taken whole, whatever their length.
+    Other columns of ``docs`` play no part. Without rows there are no rows.
     """
     prints = written(fingerprint_table(docs, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "classes")
     links, named = _linked(classes, max_bits)
     near = links.where("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("near").alias("near"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes_out = named.join(smallest, "component").join(near, "fp", "left").select(
-        "fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return prints.join(classes_out, "fp").select("id", "fp", "n_near", "component_id")
+    of_class = written(named.join(smallest, "component").join(near, "fp", "left").select(
+        "fp", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id"), "print-classes")
+    release(classes, links)
+    return join_counted(prints, of_class, "fp", "n").select("id", "fp", "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that of the smallest id, null after all others.
 
-    Ids need not be set or unique: of rows of one component and id the one with the smallest text digest stays, and
-    one of those that agree in both.
+    Ids need not be set or unique: of rows of one component and id the one with the smallest text digest stays, and of those that agree in
+    both the one with the smallest hash of all columns (then whichever, as such rows are equal). Null and empty texts, and texts without words,
+    are near one another. Columns may have any names. Without rows there are no rows.
     """
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    row = {"__null": id_.isNull(), "__id": F.coalesce(id_, F.lit(0)), "__digest": F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))}
-    prints = fingerprint_table(docs.withColumns(row), id_col, text_col, [*row])
+    digest = F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+    whole = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])  # a map has no hash
+    name, n = free_name(docs, "row"), free_name(docs, "n")
+    keyed = docs.withColumn(name, F.struct(id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), digest.alias("digest"), whole.alias("whole")))
     # Equal rows are counted first, so a minimum says how many rows it stands for.
-    rows = prints.groupBy("fp", *row).agg(F.count("*").alias("__n"))
-    least = F.min(F.struct(*row, "__n"))
-    classes = written(rows.groupBy("fp").agg(F.sum("__n").alias("n"), least.alias("least")), "classes")
-    named = _linked(classes, max_bits)[1]
-    kept = written(named.groupBy("component").agg(F.min("least").alias("least")).select("least.*"), "kept")
-    # What is kept grows with the input, so it is never sent whole to the tasks, not even where it is small.
-    one = docs.withColumns(row).join(kept.hint("merge"), [*row])
-    if kept.where("__n > 1").limit(1).count():
-        first = Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns))
-        one = one.withColumn("__k", F.row_number().over(first)).where("__k = 1")
+    rows = fingerprint_table(keyed, id_col, text_col, [name]).groupBy("fp", F.col(name).alias("row")).agg(F.count("*").alias("times"))
+    classes = written(rows.groupBy("fp").agg(F.sum("times").alias("n"), F.min(F.struct("row", "times")).alias("least")), "classes")
+    links, named = _linked(classes, max_bits)
+    kept = written(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias(name), F.col("least.times").alias(n)), "kept")
+    release(classes, links)
+    one = join_counted(keyed, kept, name, n)
+    if kept.where(F.col(n) > 1).limit(1).count():  # rows equal in all columns
+        one = one.where(F.col(n) == 1).unionByName(one.where(F.col(n) > 1).dropDuplicates([name]))
     return one.select(*docs.columns)
 
 
