@@ -2,16 +2,18 @@
 
 Patterns (the base; they always stay): assignments to password-like names, access key ids, long hex runs.
 
-Battery: a token is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]``. Its encoding is inferred
-(digits, hex, letters of one case, base32, base36, base62, base64) and its symbols are tested in that alphabet for
+Battery: a token is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]``. Its encoding is inferred from its letters and digits, without
+the separators (digits, hex, letters of one case, base32, base36, base62), and its symbols are tested in that alphabet for
 uniformity (chi-squared), for runs about the middle of the alphabet and for correlation with the next
 symbol. A token that any test rejects as random (at ``RANDOM_P``, Bonferroni over the three) is text.
 
-The others are findings only if they are too uniform for text: the null hypothesis is a token whose
-symbols coincide as often as those of text do in that alphabet (``_COINCIDENCE``), and its p-value
-is the lower tail of the chi-squared statistic, which only a long enough token can make small. These
+The others are findings only if they are unlike text in the same three respects, which makes a p-value of the token under the
+null hypothesis of text: its symbols coincide less often than those of text do in that alphabet (``_COINCIDENCE``; lower tail of
+the chi-squared statistic), it has more runs than the words and numbers that text tokens are made of (``TEXT_BREAK``; upper binomial tail
+of the breaks), or its symbols are less correlated with the next ones (``TEXT_SERIAL``; lower normal tail). The latter two tell of the order of the symbols, so
+the lesser, doubled, is joined with the first, which tells of their multiset, by Fisher's method. These
 p-values go through a Benjamini-Hochberg procedure over all tokens of the corpus with weights in proportion to length
-(false-discovery rate ``FDR``).
+(false-discovery rate ``FDR``), so a longer token passes at a greater p-value.
 
 Scale: one pass without a shuffle finds spans and p-values; the procedure needs only a histogram of
 ``_BINS`` cells. A token is tested as a whole, whatever its length.
@@ -25,16 +27,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import release, table, written
 from ._text import Words, blocks, utf8
 
 MIN_TOKEN, MIN_HEX, MIN_ACCESS, MIN_VALUE = 20, 24, 20, 6
 RANDOM_P, FDR = 1e-3, 0.05
+#: Text tokens: the chance that a run ends at a symbol, and the correlation of a symbol with the next where letter cases or digits mix.
+TEXT_BREAK, TEXT_SERIAL = 0.15, 0.1
 KINDS = ["assign", "access", "hex", "random"]
 _BINS, _PER_DECADE = 8000, 100
 
@@ -52,27 +55,43 @@ _TOKEN, _HEX, _UPPER = _class(_DIGITS + _LOW + _UP + "+/_=-"), _class("012345678
 
 #: Encodings from the narrowest: name, alphabet.
 _ENCODINGS = [("digits", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("lower", _LOW), ("upper", _UP), ("base32", _UP + "234567"), ("base36", _UP + _DIGITS),
-              ("lower36", _LOW + _DIGITS), ("base62", _DIGITS + _UP + _LOW), ("base64", _UP + _LOW + _DIGITS + "+/"), ("base64url", _UP + _LOW + _DIGITS + "-_"), ("mixed", _UP + _LOW + _DIGITS + "+/-_=")]
+              ("lower36", _LOW + _DIGITS), ("base62", _DIGITS + _UP + _LOW)]
 #: How often two symbols of text coincide, as a multiple of chance in the alphabet: letters of text coincide at about 0.066.
 _COINCIDENCE = {name: {"digits": 2.0, "hex": 1.6, "HEX": 1.6}.get(name, 0.066 * len(chars)) for name, chars in _ENCODINGS}
 _CODES = {name: {c: k for k, c in enumerate(chars.encode())} for name, chars in _ENCODINGS}
+_SEPARATORS = b"-_/+="
+#: Runs of a token: words of one letter case or of two, one after the other, capitals, digits, and single letters.
+_RUN = re.compile(rb"(?:[A-Z]?[a-z]{2,})+|[A-Z]+|[0-9]+|[a-z]")
 
 
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def infer_encoding(token: bytes) -> str:
-    seen = set(token)
+def _binomial_tail(k: int, n: int, q: float) -> float:
+    """The chance of k or more of n at chance q each; terms fall fast above the mean, where alone the tail is small."""
+    if k <= n * q:
+        return 1.0
+    j = np.arange(k, min(n, k + 400) + 1)
+    rise = np.log((n - j[:-1]) / (j[:-1] + 1) * (q / (1 - q))) if len(j) > 1 else np.zeros(0)
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q)
+    return min(1.0, math.exp(first) * float(np.exp(np.concatenate([[0.0], np.cumsum(rise)])).sum()))
+
+
+def infer_encoding(symbols: bytes) -> str:
+    seen = set(symbols)
     return next(name for name, _ in _ENCODINGS if seen <= _CODES[name].keys())
 
 
 def battery(token: bytes) -> tuple[str, float, float]:
-    """(encoding, p of randomness, p of text) of a token without its padding."""
-    name = infer_encoding(token)
+    """(encoding, p of randomness, p of text) of a token, by its letters and digits."""
+    symbols = token.translate(None, _SEPARATORS)
+    name = infer_encoding(symbols)
     codes = _CODES[name]
-    x = np.array([codes[c] for c in token], dtype=float)
+    x = np.array([codes[c] for c in symbols], dtype=float)
     n, k = len(x), len(codes)
+    if n < 2:
+        return name, 0.0, 1.0
     chi = k / n * float((np.bincount(x.astype(int), minlength=k) ** 2).sum()) - n
     # Uniformity: Wilson-Hilferty, with the variance of a multinomial of n draws.
     shape = 2 * (k - 1) ** 2 / max(1e-9, 2 * (k - 1) * (n - 1) / n)
@@ -84,10 +103,17 @@ def battery(token: bytes) -> tuple[str, float, float]:
         mean, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * max(1, n - 1))
         runs_p = 2 * _normal_tail(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(var)) if var > 0 else 1.0
     d = x - x.mean()
-    serial_p = 2 * _normal_tail(abs(float((d[1:] * d[:-1]).sum() / (d * d).sum())) * math.sqrt(n)) if (d * d).sum() else 0.0
+    varies = float((d * d).sum())
+    serial = float((d[1:] * d[:-1]).sum()) / varies if varies else 1.0
+    serial_p = 2 * _normal_tail(abs(serial) * math.sqrt(n)) if varies else 0.0
+    # The same three against text.
     excess = _COINCIDENCE[name] - 1
-    text_p = 1 - _normal_tail((chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess))
-    return name, min(1.0, 3 * min(uniform, runs_p, serial_p)), max(text_p, 1e-70)
+    text_chi = _normal_tail(-(chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess))
+    text_runs = _binomial_tail(len(_RUN.findall(symbols)) - 1, n - 1, TEXT_BREAK)
+    mixed = name not in ("digits", "lower", "upper")  # one kind of symbols has no order that text would show
+    text_serial = _normal_tail(-(serial - TEXT_SERIAL) * math.sqrt(n / (1 - TEXT_SERIAL**2))) if mixed else 1.0
+    both = max(text_chi, 1e-150) * max(min(1.0, 2 * min(text_runs, text_serial)), 1e-150)
+    return name, min(1.0, 3 * min(uniform, runs_p, serial_p)), min(1.0, max(both * (1 - math.log(both)), 1e-70))
 
 
 def scan(texts: list[bytes]) -> tuple[list[list[tuple]], list[list[tuple]]]:
@@ -126,8 +152,8 @@ def scan(texts: list[bytes]) -> tuple[list[list[tuple]], list[list[tuple]]]:
                     continue
                 s_byte, e_byte = tried[k - len(found)]
                 whole = runs.raw[s_byte:e_byte]
-                core = whole.strip(b"=-_/+")
-                if len(core) < MIN_TOKEN or any(b0 < e and s < b1 for b0, _, b1 in base[lo + d]):
+                core = whole.strip(_SEPARATORS)
+                if len(core.translate(None, _SEPARATORS)) < MIN_TOKEN or any(b0 < e and s < b1 for b0, _, b1 in base[lo + d]):
                     continue
                 random_p, text_p = battery(core)[1:]
                 if random_p >= RANDOM_P:
@@ -162,7 +188,10 @@ def _length() -> Column:
 
 
 def discovery_limit(found: DataFrame, fdr: float = FDR) -> tuple[float, float]:
-    """(mean token length, limit of p x mean / length) of the weighted Benjamini-Hochberg procedure over ``found``; a limit of 0 finds nothing."""
+    """(mean token length, limit of p x mean / length) of the weighted Benjamini-Hochberg procedure over ``found``; a limit of 0 finds nothing.
+
+    Equal p-values share a cell of the histogram and so a fate. Tokens of repeated rows count as often as they occur; without tokens the limit is 0.
+    """
     tokens = found.select(F.inline("tokens"))
     mean = tokens.agg(F.avg(_length())).first()[0] or 1.0
     score = F.least(F.lit(_BINS - 1), F.greatest(F.lit(0), F.floor(-F.log10(F.col("p") * mean / _length()) * _PER_DECADE))).cast("int")
@@ -175,26 +204,33 @@ def discovery_limit(found: DataFrame, fdr: float = FDR) -> tuple[float, float]:
     return float(mean), float(upper[fits[0]]) if len(fits) else 0.0
 
 
-def redacted(text: bytes, mean: float, limit: float, mark: str = "[SECRET]") -> str:
-    base, tokens = scan([text])
-    spans = sorted([(s, e) for _, s, e in base[0]] + [(s, e) for s, e, p in tokens[0] if s >= 0 and p * mean / (e - s) <= limit])
-    if not spans:
-        return text.decode()
-    chars, out, at = text.decode(), [], 0
-    for s, e in spans:
-        if s >= at:
-            out += [chars[at:s], mark]
-        at = max(at, e)
-    return "".join(out) + chars[at:]
+def redacted(texts: list[bytes], mean: float, limit: float, mark: str = "[SECRET]") -> list[str]:
+    """The texts with their secrets replaced by ``mark``; overlapping spans are one."""
+    done = []
+    for text, base, tokens in zip(texts, *scan(texts), strict=True):
+        spans = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, p in tokens if s >= 0 and p * mean / (e - s) <= limit])
+        chars, out, at = text.decode(), [], 0
+        for s, e in spans:
+            if s >= at:
+                out += [chars[at:s], mark]
+            at = max(at, e)
+        done.append("".join(out) + chars[at:] if spans else chars)
+    return done
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of ``text_col`` replaced by ``mark``; null stays null, all else stays as it is."""
-    mean, limit = discovery_limit(written(scanned(docs.withColumn("__id", F.lit(0)), "__id", text_col), "scanned"))
+    """``docs`` with every secret of ``text_col`` replaced by ``mark``; null stays null, all else stays as it is.
+
+    The procedure's limit is that of all rows together, repeated ones included. An empty table stays empty, other columns may have any names,
+    and texts are taken whole, whatever their length.
+    """
+    found = written(scanned(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))), "scanned")
+    mean, limit = discovery_limit(found)
+    release(found)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redacted(t.encode(), mean, limit, mark) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(redacted(utf8(texts), mean, limit, mark), pa.string(), mask=np.asarray(texts.is_null()))
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
 

@@ -8,9 +8,11 @@ The last chunk's digest is the record's.
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the largest id is the
 response and the others are revisits that refer to it.
 
-Scale: payload digests are grouped first (a pre-aggregated maximum by digest), and only digests of more
-than one record are joined to the pages. A task writes files of its own name and attempt and lists them; only listed
-files are read, so tasks that are lost and run again leave nothing in the result.
+Scale: payload digests are grouped first (a pre-aggregated maximum by digest), away from the payloads; digests that many
+records have are joined by broadcast. Only pages that may be revisits are shuffled with their payload, by
+id and digest, so that a hot payload lies in no one place; smaller ones are written where they are read. A task writes files of its own name and
+attempt and lists them; only listed files are read, so tasks that are lost and run again leave nothing in the result. Each
+archive is read by a task of its own.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, table, written
+from ._shared import join_counted, release, shared_dir, table, written
+from ._text import filesystem
 
 CHUNK_BYTES = 1 << 16
 MIN_REVISIT = 1000
@@ -38,15 +40,6 @@ CHUNKS = ("record_id string, record_type string, refers_to string, target_uri st
           "digest_so_far string, bytes_so_far long, is_last boolean, payload_digest string")
 
 
-def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and the path in it; a path without a scheme is local."""
-    if "://" not in path and not path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), path
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return pyarrow.fs.FileSystem.from_uri(path)
-
-
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
@@ -133,12 +126,21 @@ def records(parts: Iterator[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[d
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(id, url, payload, sha1, refers_to) of every row; refers_to is null for a response."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    """(id, url, payload, sha1, refers_to) of every row; refers_to is null for a response.
+
+    Null payloads are empty. A row without an id, or with fewer than MIN_REVISIT bytes, is a response; rows that repeat an id are records of their
+    own, and of equal payloads all rows with the largest id are responses. Other columns of ``pages`` play no part.
+    """
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     digested = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    shared = (rows.select("id", F.sha1(F.col("payload").cast("binary")).alias("sha1"), F.octet_length("payload").alias("n")).where(F.col("n") >= MIN_REVISIT)
-              .groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last"))
-    return digested.join(shared, "sha1", "left").select("id", "url", "payload", "sha1", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
+    may = F.col("id").isNotNull() & (F.octet_length("payload") >= MIN_REVISIT)
+    digests = written(digested.where(may).groupBy("id", "sha1").agg(F.count("*").alias("times")), "digests")
+    shared = written(digests.groupBy("sha1").agg(F.max("id").alias("last"), F.min("id").alias("least"), F.count("*").alias("n")).where("least < last").select("sha1", "n", "last"), "payloads")
+    revisits = written(join_counted(digests, shared, "sha1", "n").where("id < last").select("id", "sha1", "last"), "revisits")
+    release(digests, shared)
+    large = digested.where(may).join(revisits.hint("merge"), ["id", "sha1"], "left").select("id", "url", "payload", "sha1", F.col("last").alias("refers_to"))
+    return large.unionByName(digested.where(~may).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def record_id(page: int | None) -> str:
@@ -148,7 +150,7 @@ def record_id(page: int | None) -> str:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives below ``folder``; returns the list of finished files (path, records, bytes), itself a written table.
 
-    Null payloads are empty; rows that repeat an id are records of their own. Of equal payloads all rows with the largest id are responses.
+    Which records are revisits is told at ``roles``. Without rows there are no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_chunks(listed: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool = True, last_only: bool = False) -> DataFrame:
-    """The chunk rows of the archives in ``listed`` (path). Without ``payload`` their bytes are null; ``last_only`` leaves one row a record."""
+    """The chunk rows of the archives in ``listed`` (path). Without ``payload`` their bytes are null; ``last_only`` leaves one row a record.
+
+    An empty payload is one chunk of no bytes. A path listed twice is read twice; an empty list has no rows. Other columns of ``listed`` play no part.
+    """
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
 
@@ -201,7 +206,8 @@ def read_chunks(listed: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return listed.select("path").repartition(F.col("path")).mapInArrow(run, CHUNKS)
+    # As many ranges of paths as there are archives: a number that is given is kept, however small the paths are.
+    return listed.select("path").repartitionByRange(max(1, listed.count()), "path").mapInArrow(run, CHUNKS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

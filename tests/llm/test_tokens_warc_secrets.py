@@ -123,10 +123,47 @@ def test_random_tokens_stand_out_and_text_does_not():
     words = b"the and of nation government which administration thought interesting people because another different between important".split()
     text = [b"-".join(rnd.choice(words) for _ in range(5)) for _ in range(200)]
     assert sum(r >= X.RANDOM_P and p < 1e-4 for r, p in (X.battery(t)[1:] for t in text)) == 0
-    assert [X.infer_encoding(t) for t in (b"0" * 20, b"deadbeef1", b"XYZ234", b"Ab+/9")] == ["digits", "hex", "base32", "base64"]
+    assert [X.infer_encoding(t) for t in (b"0" * 20, b"deadbeef1", b"XYZ234", b"Ab9")] == ["digits", "hex", "base32", "base62"]
     X.battery(b"a" * 40)
 
 
+def text_token(rnd):
+    words = "quick service response handler manager factory implementation network protocol internal request update image upload version release public static analysis storage engine machine learning".split()
+    parts = [rnd.choice(words) for _ in range(rnd.randint(4, 8))]
+    return rnd.choice([lambda: "".join(w.title() for w in parts), lambda: "-".join(parts), lambda: "_".join(parts).upper(), lambda: "/".join(parts) + f"/{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}"])().encode()
+
+
+@pytest.mark.parametrize(("alphabet", "size", "least"), [(62, 20, 0.8), (62, 24, 0.9), (62, 32, 0.95), (62, 40, 0.95), (16, 40, 0.8), (16, 64, 0.95)])
+def test_recall_of_planted_keys(alphabet, size, least):
+    rnd = random.Random(size)
+    keys = ["".join(rnd.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[:alphabet]) for _ in range(size)).encode() for _ in range(60)]
+    tokens = [(t, False) for t in (text_token(rnd) for _ in range(2000)) if len(t) >= 30] + [(k, True) for k in keys]
+    scored = [(p if r >= X.RANDOM_P else 1.0, len(t), k) for t, k in tokens for _, r, p in [X.battery(t)]]
+    mean = sum(n for _, n, _ in scored) / len(scored)
+    ranked = sorted((p * mean / n, k) for p, n, k in scored)
+    cut = max((i for i, (q, _) in enumerate(ranked, 1) if q <= X.FDR * i / len(ranked)), default=0)
+    found = [k for _, k in ranked[:cut]]
+    assert sum(found) >= least * len(keys) and found.count(False) <= 0.1 * max(1, len(found))
+
+
+def test_p_values_keep_their_precision():
+    rnd = random.Random(9)
+    p = [X.battery("".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)).encode())[2] for n in (40, 80, 120)]
+    assert 1e-60 < p[2] < p[1] < p[0]
+    assert X._binomial_tail(8, 10, 0.5) == pytest.approx(56 / 1024) and X._binomial_tail(10, 10, 0.1) == pytest.approx(1e-10) and X._binomial_tail(0, 10, 0.1) == 1.0
+
+
+def test_the_procedure_agrees_with_a_sorted_list(spark):
+    rnd = random.Random(11)
+    rows = [[(0, n, rnd.random() ** rnd.choice([1, 9, 30])) for n in (rnd.randint(20, 60) for _ in range(rnd.randint(0, 4)))] for _ in range(80)]
+    found = spark.createDataFrame([(k, [], r) for k, r in enumerate(rows)], X._SCANNED)
+    mean, limit = X.discovery_limit(found)
+    flat = sorted(p * mean / n for r in rows for _, n, p in r)
+    assert mean == pytest.approx(sum(n for r in rows for _, n, _ in r) / len(flat))
+    cut = max((i for i, q in enumerate(flat, 1) if q <= X.FDR * i / len(flat)), default=0)
+    assert abs(sum(q <= limit for q in flat) - cut) <= 1 + cut // 20  # cells of a hundredth of a decade
+
+
 def test_findings_and_redaction(spark):
     rnd = random.Random(5)
     key = base64.b64encode(rnd.randbytes(48)).decode()
