@@ -7,26 +7,29 @@ neighbouring suffixes on the same diagonal are joined to longest verbatim matche
 the document and in the item. Documents with a match are then removed.
 
 Scale: the documents stay where they are read (no shuffle). Shards are built and dropped one at a
-time within a task. The benchmark is sent to the tasks in blocks of at most ``BENCH_BYTES``, a checked size,
-and each shard is searched with every block. Words are compared by 64-bit hashes.
+time within a task. The benchmark is written to the shared folder in blocks of about ``BENCH_BYTES`` by tasks of their own, so the driver holds
+none of it; each shard is searched with one block after the other, of which a worker holds one. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
-from ._text import ALNUM_CLASS, Words, blocks, slice_hash, utf8
+from ._shared import table, written
+from ._text import ALNUM_CLASS, Words, blocks, filesystem, slice_hash, utf8
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark texts in one block of windows.
+#: UTF-8 bytes of benchmark texts in one block of windows; an item that is longer is a block of its own.
 BENCH_BYTES = 8 << 20
 
 
@@ -117,8 +120,8 @@ def benchmark_windows(ids: list[int | None], texts: list[bytes], window: int = W
             "item": item[by], "place": place[by], "ids": ids}
 
 
-def search_shard(texts: list[bytes], bench: list[dict], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[list[tuple]]]:
-    """Of each text: its words, those hit, and its longest matches (block, item, place in item, place in text, words)."""
+def search_shard(texts: list[bytes], bench: Iterable[dict], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[list[tuple]]]:
+    """Of each text: its words, those hit, and its longest matches (item's id, place in item, place in text, words)."""
     words = Words(texts, ALNUM_CLASS)
     count, n_texts = np.diff(words.first), len(texts)
     code, names = pd.factorize(slice_hash(words.buf, words.start, words.end))
@@ -130,7 +133,7 @@ def search_shard(texts: list[bytes], bench: list[dict], window: int = WINDOW) ->
     array, index = SuffixArray(seq, len(names), window), pd.Index(names)
     edge = np.zeros(len(seq) + 1, np.int64)
     found: list[list[tuple]] = [[] for _ in range(n_texts)]
-    for number, block in enumerate(bench):
+    for block in bench:
         known = np.concatenate([[0], index.get_indexer(block["names"]) + 1])  # 0: not in this shard
         lo, hi = array.ranges(known[block["windows"]], block["size"])
         hit = np.flatnonzero(hi > lo)
@@ -154,23 +157,51 @@ def search_shard(texts: list[bytes], bench: list[dict], window: int = WINDOW) ->
         s = np.flatnonzero(starts)
         e = np.concatenate([s[1:], [len(at)]]) - 1
         for d, i, p, a, n in zip(owner[at[s]].tolist(), item[s].tolist(), place[s].tolist(), (at[s] - begin[owner[at[s]]]).tolist(), (place[e] + size[e] - place[s]).tolist(), strict=True):
-            found[d].append((number, i, p, a, n))
+            found[d].append((block["ids"][i], p, a, n))
     covered = (np.cumsum(edge[:-1]) > 0) & (seq > 0)
     return count, np.bincount(owner[covered], minlength=n_texts), found
 
 
-def _bench_blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of windows, each of texts of about ``block_bytes`` at most."""
-    spark = bench.sparkSession
+def benchmark_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BENCH_BYTES) -> list[str]:
+    """Writes the windows of ``bench`` in blocks of texts of at most ``block_bytes`` together, each a file in the shared folder; the files' paths."""
     rows = bench.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = 2 * total // block_bytes + 1 if total > block_bytes else 1
-    made = []
-    for k in range(parts):
-        part = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == k)).toArrow()
-        texts = utf8(part.column("t"))
-        made.append(spark.sparkContext.broadcast(benchmark_windows(part.column("id").to_pylist(), texts, window)))
-    return made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(benchmark_windows(ids, texts, window))], pa.binary())], names=["windows"])
+
+        held = 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                if texts and held + len(t) > block_bytes:
+                    yield block()
+                    ids, texts, held = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+        if texts:
+            yield block()
+
+    # Texts are dealt out over as many tasks as fill a block each, or fewer blocks.
+    dealt = rows.repartition(-(-total // block_bytes), F.xxhash64("id", "t")) if total > block_bytes else rows.coalesce(1)
+    made = written(dealt.mapInArrow(run, "windows binary"), "benchmark", file_rows=1)
+    return [r[0] for r in made.select(F.input_file_name()).distinct().collect()]
+
+
+@lru_cache(maxsize=1)
+def load_block(path: str) -> dict:
+    """The windows of a block; a worker holds that of the last call."""
+    fs, at = filesystem(path)
+    return pickle.loads(pq.read_table(at, columns=["windows"], filesystem=fs).column(0)[0].as_buffer())
+
+
+def _loaded(paths: list[str]) -> Iterator[dict]:
+    for path in paths:
+        yield load_block(path)
 
 
 _MATCH = "item_id long, item_word long, doc_word long, n_words long"
@@ -185,15 +216,14 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     words is no item; items with equal texts match alike; rows that repeat an id are rows of their
     own. With an empty benchmark nothing matches. An item whose id is null hits words but isn't named.
     """
-    sent = _bench_blocks(bench, item_col, item_text_col, window, block_bytes)
+    paths = benchmark_blocks(bench, item_col, item_text_col, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_ = [b.value for b in sent]
         for batch in batches:
             texts = utf8(batch.column(1))
             for lo, hi in blocks(texts):
-                n_words, n_hit, found = search_shard(texts[lo:hi], blocks_, window)
-                matches = [[{"item_id": blocks_[b]["ids"][i], "item_word": p, "doc_word": a, "n_words": n} for b, i, p, a, n in sorted(f)] for f in found]
+                n_words, n_hit, found = search_shard(texts[lo:hi], _loaded(paths), window)
+                matches = [[{"item_id": i, "item_word": p, "doc_word": a, "n_words": n} for i, p, a, n in sorted(f, key=lambda m: (m[0] is None, m))] for f in found]
                 items = [sorted({m["item_id"] for m in ms} - {None}, key=str) for ms in matches]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[lo:hi], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())),
@@ -207,14 +237,17 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   block_bytes: int = BENCH_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text has no match, with all their columns; each row is judged by its own text."""
-    sent = _bench_blocks(bench, item_col, item_text_col, window, block_bytes)
-
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        given, bench_blocks = [b"" if t is None else t.encode() for t in texts], [b.value for b in sent]
-        hits = [search_shard(given[lo:hi], bench_blocks, window)[1] for lo, hi in blocks(given)]
-        return pd.Series(np.concatenate(hits) == 0 if hits else np.zeros(0, bool))
+    """The rows of ``docs`` whose text has no match, with all their columns, whatever their names; each row is judged by its own text.
+
+    Null and empty texts have no match and stay, as do all rows where the benchmark is empty; rows that repeat an id or a text stay or go each by itself.
+    """
+    paths = benchmark_blocks(bench, item_col, item_text_col, window, block_bytes)
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        given = utf8(texts)
+        hits = [search_shard(given[lo:hi], _loaded(paths), window)[1] for lo, hi in blocks(given)]
+        return pa.array(np.concatenate(hits) == 0 if hits else np.zeros(0, bool))
 
     return docs.where(clean(F.col(text_col).cast("string")))
 
