@@ -224,7 +224,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     The procedure's limit is that of all rows together, repeated ones included. An empty table stays empty, other columns may have any names,
     and texts are taken whole, whatever their length.
     """
-    found = written(scanned(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))), "scanned")
+    found = written(scanned(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id"), "scanned")
     mean, limit = discovery_limit(found)
     release(found)
 
