@@ -6,24 +6,30 @@ the sums of their subtrees. An edit finds its place by the sums of lengths, re-s
 boundary before the edit that its context can't move, until a new boundary meets an old one again, encodes only those pre-tokens
 and updates the sums on the paths to the root.
 
+Trees are kept as a table: a row a document, with the lengths and counts of its pre-tokens and the digest of the text they are of.
+Counting edits reads that table, and encodes no text from its start; it gives the table of the trees after the edits.
+
 The vocabulary file is read where it lies on each machine; its path is a parameter.
 
-Scale: one pass without a shuffle. A worker keeps token counts of at most ``CACHE`` pre-tokens.
+Scale: trees are made in one pass without a shuffle. Only documents with edits are shuffled with their text, to meet their trees.
+A worker keeps token counts of at most ``CACHE`` pre-tokens.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, written
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 300_000
@@ -40,6 +46,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class _Counts(dict):
+    """Token counts by pre-token; a missing one is encoded."""
+
+    def __init__(self, encoding: tiktoken.Encoding):
+        self.encoding = encoding
+
+    def __missing__(self, piece: str) -> int:
+        got = len(self.encoding.encode_ordinary(piece))
+        if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Counter:
     """Splits text into pre-tokens and counts the tokens of each."""
 
@@ -48,17 +69,7 @@ class Counter:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, int] = {}
-
-    def count(self, piece: str) -> int:
-        got = self.cache.get(piece)
-        if got is None:
-            got = len(self.encoding.encode_ordinary(piece))
-            if len(piece) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
+        self.count = _Counts(self.encoding).__getitem__
 
     def split(self, text: str) -> tuple[list[int], list[int]]:
         """Lengths and token counts of the pre-tokens."""
@@ -92,6 +103,10 @@ class TokenTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Lengths and token counts of the pre-tokens."""
+        return [x for part in self.lengths for x in part], [x for part in self.counts for x in part]
+
     def pieces(self) -> int:
         return sum(map(len, self.lengths))
 
@@ -123,7 +138,7 @@ class TokenTree:
                 if t < len(own):
                     own[t] = rest
         if len(self.lengths[s]) > 4 * SEGMENT:
-            self._build([x for part in self.lengths for x in part], [x for part in self.counts for x in part])
+            self._build(*self.leaves())
             return
         for k in range(s, min(t, len(self.lengths) - 1) + 1):
             node = self.size + k
@@ -204,60 +219,108 @@ def redactions(text: str) -> list[Edit]:
     return mail + [(m.start(), m.end(), "<NUMBER>") for m in _NUMBER.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in mail)]
 
 
-_COUNTED = "id long, n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long"
+_TREES = "id long, digest string, lengths array<int>, counts array<int>"
+_COUNTED = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).withColumn("digest", F.md5(F.col("t").cast("binary")))
+
+
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, digest, lengths, counts) of every row of ``docs``: the leaves of its tree, and the MD5 of the text.
+
+    Null and empty texts have trees without leaves; rows that repeat an id are rows of their own. Other columns play no part.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = counter(path)
+        for batch in batches:
+            got = [split.split(v) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "digest", "lengths", "counts"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, _TREES)
+
+
+def _sums(lists: pa.ListArray) -> np.ndarray:
+    ends = np.asarray(lists.offsets)
+    total = np.concatenate([[0], np.cumsum(np.asarray(lists.values), dtype=np.int64)])
+    return total[ends[1:]] - total[ends[:-1]]
 
 
-def _counts(rows: DataFrame, edits_of: Callable[[str, list | None], list[Edit]], vocabulary: str) -> DataFrame:
+def edit_trees(trees: DataFrame, changed: DataFrame, vocabulary: str | None = None, leaves: bool = True) -> DataFrame:
+    """Every row of ``trees`` after the edits of ``changed`` (id, digest, t, edits): its columns, and the counts before and after.
+
+    A tree meets the changes of its id and text; those of other texts are left aside. Without ``leaves`` only the id and the counts are given.
+    ``changed`` has each id and digest once.
+    """
+    path = vocabulary or default_vocabulary()
+    own, new = trees.select("id", "digest", "lengths", "counts"), changed.select(F.col("id").alias("i"), F.col("digest").alias("d"), "t", "edits")
+    met = own.join(new, own["id"].eqNullSafe(new["i"]) & (own["digest"] == new["d"]), "left").select("id", "digest", "lengths", "counts", "t", "edits")
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = counter(vocabulary)
+        split = counter(path)
         for batch in batches:
-            given = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            out = []
-            for value, listed in zip(batch.column(1), given, strict=True):
-                text = value.as_py() or ""
-                lengths, counts = split.split(text)
-                edits = proper_edits(edits_of(text, listed), len(text))
-                before, after, again = sum(counts), sum(counts), 0
-                if edits:
-                    tree = TokenTree(lengths, counts)
-                    again = apply_edits(tree, text, edits, split)[1]
-                    after = tree.total
-                out.append((len(text), len(lengths), before, len(edits), again, after))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=[c.split()[0] for c in _COUNTED.split(", ")])
-
-    return rows.mapInArrow(run, _COUNTED)
-
-
-def count_tokens(docs: DataFrame, edits: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after) of every row of ``docs``.
+            lengths, counts = batch.column("lengths"), batch.column("counts")
+            n = np.asarray(lengths.value_lengths()).astype(np.int64)
+            before = _sums(counts)
+            n_edits, again, after = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), before.copy()
+            fresh: dict[int, tuple] = {}
+            texts = batch.column("t")
+            for k in np.flatnonzero(~np.asarray(texts.is_null())).tolist():
+                text = texts[k].as_py()
+                edits = proper_edits([(x["s"], x["e"], x["r"]) for x in batch.column("edits")[k].as_py()], len(text))
+                tree = TokenTree(lengths[k].values.to_pylist(), counts[k].values.to_pylist())
+                text, again[k] = apply_edits(tree, text, edits, split)
+                n_edits[k], after[k] = len(edits), tree.total
+                if leaves:
+                    fresh[k] = (hashlib.md5(text.encode()).hexdigest(), *tree.leaves())
+            kept = [batch.column("id")]
+            if leaves:
+                old = [batch.column(c).to_pylist() for c in ("digest", "lengths", "counts")]
+                for k, row in fresh.items():
+                    for c, v in zip(old, row, strict=True):
+                        c[k] = v
+                kept += [pa.array(c, t) for c, t in zip(old, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (_sums(lengths), n, before, n_edits, again, after))], names=[*(["id", "digest", "lengths", "counts"] if leaves else ["id"]), *names])
+
+    return met.mapInArrow(run, f"{_TREES if leaves else 'id long'}, {_COUNTED}")
+
+
+def count_tokens(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, trees: DataFrame | None = None,
+                 leaves: bool = False) -> DataFrame:
+    """(id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after) of every row of ``docs``; with ``leaves`` also the tree after the edits.
 
     ``edits`` holds (id, start, end, replacement) in code points of the text as it is, end exclusive, a null
-    replacement deletes; each row with an id gets that id's edits. Places beyond the text are moved to its end; an edit that begins inside an
-    earlier one, or repeats its place, is left out. Null and empty texts have no tokens but can be inserted into.
+    replacement deletes; each row with an id gets that id's edits, and those of a null id are left aside. Places beyond the text are moved to its end; an edit that
+    begins inside an earlier one, or repeats its place, is left out. Null and empty texts have no tokens but can be inserted into.
+    ``trees`` are the kept trees of ``docs``; without them they are made first.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    if edits is not None:
-        by = edits.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("replacement").alias("r"))).alias("edits"))
-        rows = rows.join(by, "id", "left").select("id", "t", "edits")
-    return _counts(rows, lambda _, listed: [(x["s"], x["e"], x["r"]) for x in listed or []], vocabulary or default_vocabulary())
+    trees = written(token_trees(docs, id_col, text_col, vocabulary), "trees") if trees is None else trees
+    by = edits.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.collect_list(F.struct(
+        F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("replacement").cast("string").alias("r"))).alias("edits"))
+    return edit_trees(trees, _keyed(docs, id_col, text_col).join(by, "id").dropDuplicates(["id", "digest"]), vocabulary, leaves)
 
 
-def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, lengths, counts): the pre-tokens of each document, from which its tree is built again without encoding."""
-    path = vocabulary or default_vocabulary()
+def redacted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, t, edits) of the texts that ``redactions`` changes, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = counter(path)
+        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("r", pa.string())]))
         for batch in batches:
-            got = [split.split(v.as_py() or "") for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "lengths", "counts"])
+            edits = [redactions(t) for t in batch.column(1).to_pylist()]
+            some = pa.array([k for k, x in enumerate(edits) if x], pa.int64())
+            listed = pa.array([[{"s": s, "e": e, "r": r} for s, e, r in x] for x in edits if x], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(2).take(some), batch.column(1).take(some), listed], names=["id", "digest", "t", "edits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, lengths array<int>, counts array<int>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, digest string, t string, edits array<struct<s:long,e:long,r:string>>").dropDuplicates(["id", "digest"])
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, before and after the redacting edits of each."""
+    """Token counts of all documents from their trees, before and after the redacting edits of each."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    return _counts(rows, lambda text, _: redactions(text), default_vocabulary()).withColumnRenamed("id", "doc_id")
+    trees = written(token_trees(docs), "trees")
+    return edit_trees(trees, redacted_rows(docs), leaves=False).withColumnRenamed("id", "doc_id")

@@ -50,12 +50,41 @@ def test_token_counts_of_odd_rows(spark, split):
     got = {(r.id, r.n_chars): (r.n_edits, r.n_tokens_after) for r in T.count_tokens(docs, edits).collect()}
     count = lambda t: len(split.encoding.encode_ordinary(t))
     assert got == {(1, 40): (2, count("ring me at a.b@c.org or 555-123-4567 now!")), (2, 0): (1, count("new")), (3, 0): (1, 0), (1, 5): (2, count("ringn!")), (None, 5): (0, 2)}
-    assert T.count_tokens(docs.limit(0)).count() == 0
+    assert T.count_tokens(docs.limit(0), edits).count() == 0
+    assert all(r.n_edits == 0 and r.n_tokens == r.n_tokens_after for r in T.count_tokens(docs, edits.limit(0)).collect())
     trees = {r.id: sum(r.counts) for r in T.token_trees(docs.where("doc_id > 1")).collect()}
     assert trees == {2: 0, 3: 0}
     assert T.edited("mail a.b@c.org or 555-123-4567 x", T.proper_edits(T.redactions("mail a.b@c.org or 555-123-4567 x"), 99)) == "mail <EMAIL> or <NUMBER> x"
 
 
+def test_kept_trees_serve_edit_after_edit(spark, split):
+    text = " ".join(f"word{k} can't" for k in range(3000))
+    docs = spark.createDataFrame([(1, text, 0), (1, text, 1), (2, "other one", 2), (None, text, 3)], "doc_id long, text string, counts int")
+    edits = spark.createDataFrame([(1, 10, 12, "XY Z"), (2, 0, 0, "an ")], "doc_id long, start int, end int, replacement string")
+    first = T.count_tokens(docs, edits, leaves=True)
+    new = text[:10] + "XY Z" + text[12:]
+    after = spark.createDataFrame([(1, new), (1, new), (2, "an other one"), (None, text)], "doc_id long, text string")
+    fresh = sorted(map(str, T.token_trees(after).collect()))
+    assert sorted(str(r) for r in first.select("id", "digest", "lengths", "counts").collect()) == fresh
+    got = first.where("id = 1").collect()
+    assert len(got) == 2 and all(r.n_pretokens > 6000 and 0 < r.n_reencoded <= 8 for r in got)  # near the edit alone
+    again = T.count_tokens(after, spark.createDataFrame([(1, 10, 14, text[10:12])], "doc_id long, start int, end int, replacement string"), trees=first, leaves=True)
+    assert {r.digest for r in again.where("id = 1").collect()} == {hashlib.md5(text.encode()).hexdigest()}
+
+
+def test_query_counts_tokens_of_whole_texts(spark, split):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = T.op7_token_counts(spark, data).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id]
+        edits = T.proper_edits(T.redactions(text), len(text))
+        count = lambda t: len(split.encoding.encode_ordinary(t))
+        assert (r.n_chars, r.n_tokens, r.n_edits, r.n_tokens_after) == (len(text), count(text), len(edits), count(T.edited(text, edits)))
+    assert sum(r.n_edits for r in got) > 0
+
+
 def test_records_come_back_in_pieces():
     payloads = [b"", b"x", bytes(range(256)) * 1000, b"\r\n\r\n" * 50]
     out = io.BytesIO()
