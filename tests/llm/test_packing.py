@@ -67,15 +67,33 @@ def test_best_fit_decreasing_agrees_with_a_list():
                 free.append(capacity)
             free[k] -= s
             expected.append(k)
-        assert S.best_fit_decreasing(sizes, capacity, most) == expected
+        got: dict = defaultdict(list)
+        runs = S.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), capacity, most)
+        for size, first, n, k in runs:
+            assert len(got[size]) == first
+            got[size] += [k] * n
+        of_list = defaultdict(list)
+        for s, k in zip(sizes, expected, strict=True):
+            of_list[s].append(k)
+        assert {s: sorted(k) for s, k in got.items()} == {s: sorted(k) for s, k in of_list.items()}
+        size, rank, bins = S._starts(runs)
+        assert len(bins) <= len(runs) and sum(n for _, _, n, _ in runs) == len(sizes)
+
+
+def test_many_equal_groups_are_packed_at_once():
+    runs = S.pack([(1000, 3), (700, 10**9), (1, 10**10)], 16)
+    held = Counter()
+    for size, _, n, k in runs:
+        held[k] += size * n
+    assert sum(n for _, _, n, _ in runs) == 3 + 10**9 + 10**10 and max(held.values()) - min(held.values()) <= 16 and len(runs) < 100
 
 
 def test_shards(spark):
     rnd = random.Random(4)
     rows = [(k, "".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 300))), 1) for k in range(600)] + [(700 + k, "copy", 1) for k in range(50)] + [(800, None, 1), (801, None, 1), (802, "", 1), (None, "copy", 1), (1, "repeated", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
-    for units in (1 << 16, 64):
-        got = S.shard(docs, units=units).collect()
+    for cells in (1 << 16, 3):
+        got = S.shard(docs, cells=cells).collect()
         assert len(got) == len(rows)
         sizes, slots = Counter(), defaultdict(list)
         for r in got:
@@ -99,5 +117,19 @@ def test_shards_of_a_fixed_capacity(spark):
     for r in got:
         held.setdefault(r.shard, []).append(r.size)
     assert sorted(r.id for r in got) == list(range(8)) and sorted(map(sum, held.values())) == [100, 100, 100, 150]
-    with pytest.raises(ValueError, match="capacity"):
-        S.shard(docs, units=1, capacity=100)
+
+
+def test_the_query_packs_as_a_list_would(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in S.op4_shards(spark, data).collect()}
+    groups = Counter()
+    for t in texts.values():
+        groups[t] += len((t or "").encode()) + 1
+    held = Counter()
+    for k, t in texts.items():
+        held[got[k].shard] += len((t or "").encode()) + 1
+    plain = Counter()
+    for size, _, n, k in S.pack(sorted(Counter(groups.values()).items(), reverse=True), 16):
+        plain[k] += size * n
+    assert got.keys() == texts.keys() and held == plain and all(len({got[k].shard for k, t in texts.items() if t == text}) == 1 for text in groups)
