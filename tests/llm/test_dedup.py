@@ -129,7 +129,7 @@ def test_embeddings_agree_with_all_pairs(spark):
     label = components(len(x), links)
     least = {c: min(ids[k] for k in range(len(x)) if label[k] == c) for c in label}
     expected = {ids[k]: (sum(k in e for e in links), least[label[k]]) for k in range(len(x))} | {k: (0, k) for k in range(200, 206)} | {206: (1, 206), 207: (1, 206)}
-    for tile in (8192, 7):
+    for tile in (None, 7):
         assert {r.id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, tile_rows=tile).collect()} == expected
     assert embed_dedup.near_duplicates(df, tile_rows=7, sample_rows=3).where("n_links > 0").count() == sum(n > 0 for n, _ in expected.values())
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
@@ -146,6 +146,22 @@ def test_the_bound_never_loses_a_pair():
     assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.9}
 
 
+def test_boxes_leave_no_pair_out():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 5)) * [4, 2, 1, 1, 1]
+    x[200:] = x[:200] + rng.normal(scale=0.1, size=(200, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cuts = embed_dedup.Cuts(x[:90, :3], 13)
+    leaf = cuts.place(x[:, :3])
+    assert cuts.leaves == 13 and set(leaf) == set(range(13))
+    low, high = (np.array([f(x[leaf == k, :3], axis=0) for k in range(13)]) for f in (np.min, np.max))
+    near = embed_dedup.near_boxes(low, high, np.sqrt(2 - 2 * 0.98) + 1e-9)
+    linked = {(leaf[a], leaf[b]) for a, b in zip(*np.nonzero(x @ x.T >= 0.98), strict=True)}
+    assert linked <= {(a, b) for a in range(13) for b in near[a]} and sum(map(len, near)) < 13 * 13
+    same = embed_dedup.Cuts(np.zeros((10, 2)), 4)
+    assert len(set(same.place(np.zeros((10, 2))))) == 1
+
+
 def spans(docs):
     words = {k: [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOWER)) if x] for k, t in docs}
     seen = {}
