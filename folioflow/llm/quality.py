@@ -171,19 +171,20 @@ def held_out(id_col: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> AdditiveModel:
     """A model of the labels of rows that aren't held out.
 
-    Labels that are null don't count; of several for an id the mean decides, a tie for 1. Without
-    labels, or with labels of one kind, every score is the (smoothed) share of label 1.
+    Labels that are null don't count; of several for an id the mean decides, a tie for 1. Of several texts of an id the one with the smallest
+    hash is taken, a null text as empty. Without labels, or with labels of one kind, every score is the (smoothed) share of label 1. Columns may have any other names.
     """
-    votes = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(
-        (F.avg(label_col) >= 0.5).cast("int").alias("__y"))
-    sample = votes.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
+    votes = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(
+        (F.avg(label_col) >= 0.5).cast("int").alias("y"))
+    sample = votes.orderBy(F.xxhash64("id"), "id").limit(train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(utf8(batch.column(1)))), pa.list_(pa.float64()))], names=["y", "x"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"))
-    got = text.join(F.broadcast(sample), "__id").dropDuplicates(["__id"]).select("__y", "__t").mapInArrow(run, "y int, x array<double>").toArrow()
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    one = text.join(F.broadcast(sample), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("x"))
+    got = one.select("x.y", "x.t").mapInArrow(run, "y int, x array<double>").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").combine_chunks())
     by = np.lexsort([*x.T, y])  # the fit doesn't depend on the order of rows
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with only its id, and the score of its whole text; null is scored as empty."""
+    """(id, score) of every row of ``docs``, by its whole text; null is scored as empty, repeated rows alike."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +203,15 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns, whatever their names.
+
+    Rows are judged by their texts alone, so repeated ones stay or go together; null and empty texts get the score of an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(features([b"" if t is None else t.encode() for t in texts])))
+    @F.arrow_udf("double")
+    def quality(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.score(features(utf8(texts))))
 
     return docs.where(quality(F.col(text_col).cast("string")) >= threshold)
 
