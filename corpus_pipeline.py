@@ -3,7 +3,7 @@
 Five stages, each on all rows that the one before it kept: the quality classifier drops what it rejects,
 SimHash leaves one document of each group of near duplicates, documents with benchmark passages go,
 secrets are masked, and what is left is packed. ``run`` writes each stage's rows as Parquet into the shared folder
-and reads them again, so a lost executor costs no more than the stage at hand.
+and reads them again, so a lost executor costs no more than the stage at hand; the rows of a stage go when the next one's are written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, packing, quality, secret_scan, simhash
-from folioflow.llm._shared import table, written
+from folioflow.llm._shared import release, scratch, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark):  # what a stage writes on its way goes once its rows are written
+            docs = written(stage(spark, before, sf_dir), f"stage-{name}", keep=True)
+        release(before)
     return docs
