@@ -109,15 +109,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Without ``cluster_col`` (a long) the cluster is the hash of the text with letters lowered and white space
     collapsed. Null and empty texts are one piece of length 0, in a bin like any other; a null source or null text conflicts with nothing.
-    Rows that repeat an id are documents of their own; ties go by id, then by cluster.
+    Rows that repeat an id are documents of their own; ties go by id, then by cluster and source. A document longer than a sequence is cut, whatever
+    its length. Other columns of ``docs`` play no part; without rows there are none.
     """
     t = F.col(text_col).cast("string")
     cluster = F.col(cluster_col).cast("long") if cluster_col else F.when(t.isNotNull(), F.xxhash64(F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))))
     size = F.col(size_col).cast("long") if size_col else F.octet_length(t).cast("long")
     rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"),
-                               F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).alias("size")), "pieces")
+                               F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).alias("size")).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.count() // group_rows))
-    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id", "cluster", "size"), F.lit(groups)))
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("id", "cluster", "size", "row"), F.lit(groups)))  # the row's number spreads rows that agree in all else
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
