@@ -24,7 +24,7 @@ def first_mode(rows: DataFrame, key: list[str], value: Column, pos: str) -> Data
 
 
 def first_examples(rows: DataFrame, key: str, value: str, pos: str, top: int = 20) -> DataFrame:
-    """The first value of each key; the ``top`` longest of them, in order of first sight within a length."""
+    """(key, value): the first value of each key; the ``top`` longest of them, in order of first sight within a length."""
     seen = rows.groupBy(key).agg(F.min_by(value, pos).alias(value), F.min(pos).alias("__p"))
     return seen.orderBy(F.length(value).desc(), "__p").limit(top).drop("__p")
 
@@ -70,16 +70,22 @@ def section_rank(books: DataFrame, sections: DataFrame, order: str) -> DataFrame
 
 
 def issues(parts: list[tuple[Column, str, Column | None]]) -> Column:
-    """Texts of the parts (list, text after its size, list to show the first five of) whose list isn't empty."""
+    """Texts of the parts (number, text after it, list to show the first five of) whose number isn't 0."""
     out = []
-    for listed, text, shown in parts:
-        line = F.concat(F.size(listed).cast("string"), F.lit(f" {text}"))
+    for number, text, shown in parts:
+        line = F.concat(number.cast("string"), F.lit(f" {text}"))
         if shown is not None:
             line = F.concat(line, F.lit(": ["), F.array_join(F.transform(F.slice(shown, 1, 5), lambda x: x.cast("string")), ", "), F.lit("]"))
-        out.append(F.when(F.size(listed) > 0, line))
+        out.append(F.when(number > 0, line))
     return F.array_compact(F.array(*out))
 
 
+def first_values(rows: DataFrame, key: list[str], value: str, top: int = 5) -> DataFrame:
+    """(key, n, values): how many rows each key has and its ``top`` least values, of which no more are gathered."""
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(value))).where(F.col("__k") <= top)
+    return rows.groupBy(*key).agg(F.count("*").cast("int").alias("n")).join(ranked.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias("values")), key, "left")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of all frames, repeats included."""
     out = frames[0]

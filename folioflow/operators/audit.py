@@ -56,7 +56,7 @@ def audit_books(books_meta: DataFrame, chapters: DataFrame, verses: DataFrame, a
     for c, kind in (("no_verses", "array<int>"), ("gaps", "array<struct<ch:int,got:int,expected:int>>"), ("missing_text", "array<struct<ch:int,n:int,text:string,pdf:string,first:int,last:int>>")):
         filled = filled.withColumn(c, F.coalesce(F.col(c), F.array().cast(kind)))
     issues = F.when(F.col("there"), aggregates.issues([
-        (F.col("no_verses"), "chapter(s) with NO verses", F.col("no_verses")), (F.col("gaps"), "chapter(s) with verse-number gaps", None), (F.col("missing_text"), "sampled verse(s) NOT FOUND in PDF", None),
+        (F.size("no_verses"), "chapter(s) with NO verses", F.col("no_verses")), (F.size("gaps"), "chapter(s) with verse-number gaps", None), (F.size("missing_text"), "sampled verse(s) NOT FOUND in PDF", None),
     ])).otherwise(F.array(F.lit("no JSON file")))
     status = F.when(~F.col("there"), "MISSING").when(F.size("issues") == 0, "OK").otherwise("ISSUES")
     return filled.withColumn("verse_total", F.coalesce("verse_total", F.lit(0))).withColumn("issues", issues).withColumn("status", status).drop("there")
@@ -78,7 +78,7 @@ def check_books(books_meta: DataFrame, verses: DataFrame, chapters: DataFrame, e
     total, due = F.coalesce("extracted_verses", F.lit(0)), F.col("expected_verses")
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
     errors = F.array_compact(F.concat(F.array(aggregates.recovery_issue(total, due)), aggregates.issues([
-        (F.col("gaps"), "chapter(s) with verse-number gaps", None), (F.col("missing_in_pdf"), "sampled verse(s) not found in PDF", None)])))
+        (F.size("gaps"), "chapter(s) with verse-number gaps", None), (F.size("missing_in_pdf"), "sampled verse(s) not found in PDF", None)])))
     return (rows.withColumn("extracted_verses", total).withColumn("gaps", none("gaps", "array<struct<ch:int,got:int,expected:int>>")).withColumn("missing_in_pdf", none("missing_in_pdf", "array<struct<ch:int,n:int,text:string>>"))
             .withColumn("recovery", aggregates.recovery(total, due)).withColumn("errors", F.when(F.col("there"), errors).otherwise(F.array(F.lit("no JSON file"))))
             .withColumn("status", F.when(F.col("there").isNull(), "MISSING").when(F.size("errors") == 0, "OK").otherwise("ISSUES")).drop("there"))

@@ -66,27 +66,43 @@ def in_dictionary(tokens: DataFrame, dictionary: DataFrame, token: str = "token"
 
 
 def contains_window(needles: DataFrame, haystacks: DataFrame, needle: str, hay: str, window: int = 8, stride: int = 4, margin: int = 4, short: bool = True) -> DataFrame:
-    """Pairs whose haystack holds one of the needle's word windows as whole words, by an equi-join of shingles.
+    """Pairs whose haystack holds one of the needle's word windows as a substring, so that a window may begin or end within a word.
 
-    Both texts are normalized for matching. Each place of a haystack gives one run of up to ``window`` words; runs and windows are joined by
-    their first four words, and a pair counts if the run begins with the window. A needle of fewer than 4 words must be held whole (runs then have
-    a key of that length as well), or with ``short`` false is left out; a needle without words is in nothing. Rows: all columns of both sides, each pair once.
+    Both texts are normalized for matching. All words of a window but its first and last are whole words of such a haystack, so windows meet haystacks by
+    an equi-join of up to four of them (of two words by the characters about the space, of one word by its first three characters); only ids and hashes
+    are shuffled for that. Pairs that meet are verified on the texts. A needle of fewer than 4 words must be held whole, or with ``short`` false is
+    left out; a needle without words is in nothing. Rows: all columns of both sides, which have different names, once for each pair of rows.
     """
-    words = lambda c: F.filter(F.split(normalize_match(F.col(c)), " "), lambda w: w != "")
-    n = needles.withColumn("__w", words(needle)).withColumn("__nid", F.struct(*needles.columns))
-    wins = F.when(F.size("__w") >= 4, word_windows(F.col("__w"), margin, window, stride))
-    wins = wins.when(F.size("__w") > 0, F.array(F.array_join("__w", " "))) if short else wins
-    tried = n.select("__nid", F.explode(F.array_distinct(wins)).alias("__s")).withColumn("__n", F.least(F.lit(4), F.size(F.split("__s", " ")))).withColumn("__k", F.substring_index("__s", " ", 4))
-    sizes = sorted(r[0] for r in tried.select("__n").distinct().collect())  # of 1, 2, 3 and 4
-    if not sizes:
-        return needles.limit(0).crossJoin(haystacks.limit(0))
-    h = haystacks.withColumn("__w", words(hay)).withColumn("__hid", F.struct(*haystacks.columns))
-    places = F.when(F.size("__w") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w"), F.lit(1))), lambda i: F.array_join(F.slice(F.col("__w"), i, F.lit(window)), " ")))
-    runs = h.select("__hid", F.explode(places).alias("__r"))
-    keys = F.array_distinct(F.array(*[F.substring_index("__r", " ", k) for k in sizes]))
-    keyed = runs.select("__hid", "__r", F.explode(keys).alias("__k")) if len(sizes) > 1 else runs.select("__hid", "__r", F.substring_index("__r", " ", sizes[0]).alias("__k"))
-    met = tried.join(keyed, "__k").where((F.col("__r") == F.col("__s")) | F.startswith("__r", F.concat("__s", F.lit(" "))))
-    return met.select("__nid", "__hid").distinct().select("__nid.*", "__hid.*")
+    if both := {c.lower() for c in needles.columns} & {c.lower() for c in haystacks.columns}:
+        raise ValueError(f"columns of both sides: {sorted(both)}")
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    row = lambda df: F.xxhash64(*df.columns)  # noqa: E731 - equal rows share it, unlike ones that share it part at the verification
+    w = F.col("w")
+    wins = F.when(F.size(w) >= 4, word_windows(w, margin, window, stride))
+    wins = wins.when(F.size(w) > 0, F.array(F.array_join(w, " "))) if short else wins
+    n = needles.select(row(needles).alias("nid"), F.struct(*needles.columns).alias("n"), words(normalize_match(F.col(needle))).alias("w")).withColumn("wins", wins).drop("w")
+    part = n.select("nid", F.explode(F.array_distinct("wins")).alias("s")).withColumn("w", F.split("s", " ")).withColumn("k", F.least(F.lit(4), F.size("w") - 2))
+    inner = F.array_join(F.slice(w, F.lit(2), F.greatest("k", F.lit(0))), " ")
+    about = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
+    key = F.when(F.col("k") >= 1, inner).when(F.col("k") == 0, about(F.get(w, F.lit(0)), F.get(w, F.lit(1)))).otherwise(F.left("s", F.lit(3)))
+    tried = part.select("nid", F.when(F.col("k") < 0, -F.length(key)).otherwise(F.col("k")).alias("k"), key.alias("key"))
+    kinds = sorted(r[0] for r in tried.select("k").distinct().collect())  # of 1 to 4 words, 0, and 1 to 3 characters as -1 to -3
+    h = haystacks.select(row(haystacks).alias("hid"), normalize_match(F.col(hay)).alias("t")).withColumn("w", words(F.col("t")))
+
+    def keys(k: int) -> Column:
+        count = F.size(w) - (k - 1 if k else 1) if k >= 0 else F.length("t") + k + 1
+        at = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        if k > 0:
+            return F.transform(at, lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, F.lit(k)), " ")))
+        if k == 0:
+            return F.transform(at, lambda i: F.xxhash64(F.lit(k), about(F.get(w, i - 1), F.get(w, i))))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(k), F.substring("t", i, F.lit(-k))))
+
+    listed = F.array_distinct(F.concat(*map(keys, kinds))) if kinds else F.array().cast("array<bigint>")
+    met = h.select("hid", F.explode(listed).alias("key")).join(tried.select("nid", F.xxhash64("k", "key").alias("key")).distinct(), "key").select("nid", "hid").distinct()
+    texts = haystacks.select(row(haystacks).alias("hid"), F.struct(*haystacks.columns).alias("h"))
+    held = met.join(n, "nid").join(texts, "hid").withColumn("t", normalize_match(F.col(f"h.{hay}")))
+    return held.where(F.exists("wins", lambda x: F.contains(F.col("t"), x))).select("n.*", "h.*")
 
 
 def contains_text(needles: DataFrame, haystacks: DataFrame, windows: Column, hay: Column) -> DataFrame:

@@ -105,3 +105,14 @@ def import_marks(state: DataFrame, files: DataFrame) -> DataFrame:
     read = files.select("user_id", F.from_json("json", kind, {"mode": "PERMISSIVE"}).alias("i"))
     both = state.join(read, "user_id", "full_outer")
     return both.select("user_id", F.coalesce("i.lastRead", "last_read").alias("last_read"), F.coalesce("i.bookmarks", "marks", F.array().cast(MARKS)).alias("marks"))
+
+
+def kept_value(stored: Column, kind: str) -> Column:
+    """What a key of the store holds, of the given kind; null where there is nothing or it can't be read."""
+    return F.from_json(stored, kind, {"mode": "PERMISSIVE"})
+
+
+def keep_value(store: DataFrame, changes: DataFrame, key: str = "key", value: str = "value", order: str = "seq") -> DataFrame:
+    """The store (key, value) after ``changes`` (key, value, seq): the last value of each key counts, and one that is null, as what can't be written, changes nothing."""
+    new = changes.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias("__new"))
+    return store.join(new, key, "full_outer").select(key, F.coalesce("__new", value).alias(value))

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.text import initial_like, normalize_citation
+from ..sources.shared import release, written
 from .aggregates import token_frequency
 from .translit import map_matches
 
 _TOKENS = r"<[^>]+>|\p{Alpha}+|[^\p{Alpha}<]+|<"
 _BREAK = r"(?U)<[^>]+>|\b[A-Za-z]{2,}-\s+[a-z][a-z]{1,15}\b"
 _SUFFIXES = tuple("ed er es ied ies ing ly s".split())
-#: Pieces of a word that a merge can join.
-MAX_PIECES = 8
+#: Pieces of a word that are looked up at once; words of more pieces take a further look-up each.
+PIECES = 3
+#: Tokens that a fold copies at a step.
+_CHUNK = 256
 
 
 def stems(word: Column) -> Column:
@@ -36,23 +39,28 @@ def stems(word: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+def english_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, direct) of the distinct lower-cased ``words`` that are English: in the dictionary themselves, or inflections of what is."""
+    asked = words.select("word").distinct().where(F.col("word").rlike(r"^\p{L}+$"))
+    known = dictionary.select(F.lower("word").alias("stem")).distinct()
+    return asked.select("word", F.explode(stems(F.col("word"))).alias("stem")).join(known, "stem").groupBy("word").agg((F.max((F.col("word") == F.col("stem")).cast("int")) == 1).alias("direct"))
+
+
 def word_facts(words: DataFrame, dictionary: DataFrame, frequency: DataFrame) -> DataFrame:
     """(word, direct, english, freq) of the distinct lower-cased ``words`` (word)."""
     asked = words.select("word").distinct()
-    known = dictionary.select(F.lower("word").alias("stem")).distinct()
-    english = asked.where(asked["word"].rlike(r"^\p{L}+$")).select("word", F.explode(stems(F.col("word"))).alias("stem")).join(known, "stem").groupBy("word").agg(
-        F.max((F.col("word") == F.col("stem")).cast("int")).alias("__d"))
-    return asked.join(english, "word", "left").join(frequency.select(F.col("token").alias("word"), "freq"), "word", "left").select(
-        "word", (F.coalesce("__d", F.lit(0)) == 1).alias("direct"), F.col("__d").isNotNull().alias("english"), F.coalesce("freq", F.lit(0)).alias("freq"))
+    return asked.join(english_words(asked, dictionary), "word", "left").join(frequency.select(F.col("token").alias("word"), "freq"), "word", "left").select(
+        "word", F.coalesce("direct", F.lit(False)).alias("direct"), F.col("direct").isNotNull().alias("english"), F.coalesce("freq", F.lit(0)).alias("freq"))
+
+
+_FACTS = "map<string,struct<direct:boolean,english:boolean,freq:bigint>>"
 
 
-def _with_facts(texts: DataFrame, key: str, asked: Column, dictionary: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``texts`` with ``facts``, a map of the words each asks about that the dictionary or the corpus knows."""
-    pairs = texts.select(F.col(key).alias("__id"), F.explode(F.array_distinct(asked)).alias("word"))
-    facts = word_facts(pairs.select("word"), dictionary, frequency).where("english OR freq > 0")
-    by = pairs.distinct().join(facts, "word").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("direct", "english", "freq")))).alias("facts"))
-    empty = F.create_map().cast("map<string,struct<direct:boolean,english:boolean,freq:bigint>>")
-    return texts.join(by, texts[key] == by["__id"], "left").drop("__id").withColumn("facts", F.coalesce(F.col("facts").cast("map<string,struct<direct:boolean,english:boolean,freq:bigint>>"), empty))
+def _with_facts(texts: DataFrame, key: str, asked: DataFrame, dictionary: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``texts`` with ``facts``, a map of the words each asks about (``asked``: __id, word) that the dictionary or the corpus knows."""
+    facts = word_facts(asked.select("word"), dictionary, frequency).where("english OR freq > 0")
+    by = asked.distinct().join(facts, "word").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("direct", "english", "freq")))).alias("facts"))
+    return texts.join(by, texts[key] == by["__id"], "left").drop("__id").withColumn("facts", F.coalesce(F.col("facts").cast(_FACTS), F.create_map().cast(_FACTS)))
 
 
 def _fact(word: Column, what: str) -> Column:
@@ -70,7 +78,7 @@ def join_hyphen_breaks(texts: DataFrame, key: str, text: str, dictionary: DataFr
     whole = lambda m: F.regexp_replace(m, r"(?U)-\s+", "")
     first, second = (lambda m: F.regexp_extract(m, r"^[A-Za-z]+", 0)), (lambda m: F.regexp_extract(m, "[A-Za-z]+$", 0))
     candidates = F.transform(F.filter(F.regexp_extract_all(F.col(text), F.lit(_BREAK), F.lit(0)), lambda m: ~m.startswith("<")), lambda m: F.lower(whole(m)))
-    rows = _with_facts(texts, key, candidates, dictionary, frequency)
+    rows = _with_facts(texts, key, texts.select(F.col(key).alias("__id"), F.explode(F.array_distinct(candidates)).alias("word")), dictionary, frequency)
 
     def fits(m: Column) -> Column:
         return ~m.startswith("<") & ~_stop(first(m)) & ~_stop(second(m)) & _fact(whole(m), "english") & (_fact(whole(m), "direct") | (_fact(whole(m), "freq") >= 2))
@@ -79,28 +87,49 @@ def join_hyphen_breaks(texts: DataFrame, key: str, text: str, dictionary: DataFr
     return rows.withColumn("n_hyphen", count).withColumn(text, map_matches(F.col(text), _BREAK, lambda m: F.when(fits(m), whole(m)).otherwise(m))).drop("facts")
 
 
-def merge_soft_wraps(texts: DataFrame, key: str, text: str, dictionary: DataFrame, frequency: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
+def merge_soft_wraps(texts: DataFrame, key: str, text: str, dictionary: DataFrame, frequency: DataFrame) -> DataFrame:
     """``texts`` with ``moun tains`` joined; ``n_soft`` counts the joins.
 
     From left to right two words with one space between them become one if neither always stands alone, the second
     has no capital, the joined word is English, and in the dictionary itself, or at least twice in the corpus, or one part is at most twice in it,
     and not both parts are English. A capitalized first part needs the joined word itself in the dictionary. A joined word
-    is tried with the next one again, up to ``max_pieces``.
+    is tried with the next one again, however many pieces it has.
+
+    Words of up to PIECES pieces are looked up at once. A longer one is only asked about where the word without its last piece is English, one piece more
+    at a time, until no such word grows. A text gets the facts of its English joins and of their parts alone, so few that a look-up is short.
     """
-    tokens = F.regexp_extract_all(F.col(text), F.lit(_TOKENS), F.lit(0))
     word = lambda t: t.rlike("^[A-Za-z]+$")
-    ordered = texts.withColumn("__t", tokens)
-    # Every run of up to max_pieces words with single spaces could be asked about; a run ends at a word that always stands alone or has a capital.
-    index = F.sequence(F.lit(1), F.greatest(F.size("__t"), F.lit(1)))
-
-    def joined_runs(k: int) -> Column:
-        part = lambda i: F.slice(F.col("__t"), i, F.lit(2 * k + 1))
-        usable = lambda t: (t == " ") | (word(t) & ~_stop(t)) if k else word(t)
-        good = lambda i: (F.size(part(i)) == 2 * k + 1) & F.forall(part(i), usable)
-        return F.transform(F.filter(index, good), lambda i: F.lower(F.replace(F.array_join(part(i), ""), F.lit(" "), F.lit(""))))
-
-    runs = [joined_runs(k) for k in range(max_pieces)]
-    rows = _with_facts(ordered, key, F.flatten(F.array(*runs)), dictionary, frequency)
+    plain = texts.select(F.col(key).alias("__id"), F.regexp_replace(F.col(text), "<[^>]+>", "<>").alias("__p"))
+    longest = (dictionary.agg(F.max(F.length("word"))).first()[0] or 0) + 4  # with an inflection
+
+    def runs_of(k: int) -> Column:
+        """All runs of k + 1 words with single spaces, of which only the first may have a capital."""
+        return F.regexp_extract_all("__p", F.lit(f"(?<![A-Za-z])(?=([A-Za-z]+(?: [a-z][A-Za-z]*){{{k}}})(?![A-Za-z]))[A-Za-z]"), F.lit(1))
+
+    tight = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
+
+    def english_joins(runs: DataFrame) -> DataFrame:
+        """Of (__id, run) those that join to an English word."""
+        tried = runs.select("run").distinct().withColumn("word", tight(F.col("run"))).where((F.length("word") <= longest) & ~F.exists(F.split("run", " "), _stop))
+        known = english_words(tried, dictionary).select("word")
+        return written(runs.join(tried.join(known, "word").select("run"), "run").select("__id", "run"), "joined-words")
+
+    asked = grown = english_joins(plain.select("__id", F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, range(1, PIECES)))))).alias("run")))
+    pieces = lambda: F.size(F.split("run", " "))
+    k = PIECES - 1
+    while True:
+        # The longest joins go on where they are English.
+        last = grown.where(pieces() == k + 1).select("__id", F.col("run").alias("__head")).distinct()
+        k += 1
+        longer = plain.join(last.select("__id").distinct(), "__id").select("__id", F.explode(F.array_distinct(runs_of(k))).alias("run")).withColumn("__head", F.substring_index("run", " ", k))
+        grown = english_joins(longer.join(last, ["__id", "__head"]).select("__id", "run"))
+        if not grown.limit(1).count():
+            release(grown)
+            break
+        asked = asked.unionByName(grown)
+    head, tail = F.expr("substring_index(run, ' ', size(split(run, ' ')) - 1)"), F.substring_index("run", " ", -1)
+    ordered = texts.withColumn("__t", F.regexp_extract_all(F.col(text), F.lit(_TOKENS), F.lit(0)))
+    rows = _with_facts(ordered, key, asked.select("__id", F.explode(F.array(*map(tight, (F.col("run"), head, tail)))).alias("word")), dictionary, frequency)
 
     def step(acc: Column, t: Column) -> Column:
         out = acc.out
@@ -109,27 +138,40 @@ def merge_soft_wraps(texts: DataFrame, key: str, text: str, dictionary: DataFram
         trap = a.rlike(r"^[A-Z][a-z]*$") & ~_fact(joined, "direct")
         fits = ((F.size(out) >= 2) & word(t) & word(a) & (gap == " ") & ~_stop(a) & ~_stop(t) & ~t.rlike("^[A-Z]") & ~trap & _fact(joined, "english")
                 & (_fact(joined, "direct") | (_fact(joined, "freq") >= 2) | (_fact(a, "freq") <= 2) | (_fact(t, "freq") <= 2)) & ~(_fact(a, "english") & _fact(t, "english")))
-        merged = F.struct(F.concat(F.slice(out, F.lit(1), F.size(out) - 2), F.array(joined)).alias("out"), (acc.n + 1).alias("n"))
-        return F.when(F.coalesce(fits, F.lit(False)), merged).otherwise(F.struct(F.concat(out, F.array(t)).alias("out"), acc.n.alias("n")))
+        merged = F.struct(acc.done.alias("done"), F.concat(F.slice(out, F.lit(1), F.size(out) - 2), F.array(joined)).alias("out"), (acc.n + 1).alias("n"))
+        # Only the last two tokens can change, so full chunks are set aside: a step copies no more than a chunk.
+        full = F.struct(F.concat(acc.done, F.array(F.slice(out, F.lit(1), F.size(out) - 2))).alias("done"), F.concat(F.slice(out, F.lit(-2), F.lit(2)), F.array(t)).alias("out"), acc.n.alias("n"))
+        more = F.struct(acc.done.alias("done"), F.concat(out, F.array(t)).alias("out"), acc.n.alias("n"))
+        return F.when(F.coalesce(fits, F.lit(False)), merged).when(F.size(out) >= _CHUNK, full).otherwise(more)
+
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    folded = F.aggregate("__t", start, step, lambda acc: F.struct(F.concat(F.flatten(acc.done), acc.out).alias("out"), acc.n.alias("n")))
+    # A text without English joins stays as it is.
+    done = F.when(F.size("facts") > 0, folded)
+    return rows.withColumn("__f", done).withColumn(text, F.when(F.col("__f").isNotNull(), F.array_join("__f.out", "")).otherwise(F.col(text))).withColumn(
+        "n_soft", F.coalesce("__f.n", F.lit(0))).drop("__f", "__t", "facts")
+
 
-    folded = F.aggregate("__t", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n")), step)
-    return rows.withColumn("__f", folded).withColumn(text, F.array_join("__f.out", "")).withColumn("n_soft", F.col("__f.n")).drop("__f", "__t", "facts")
+def _glued(table: dict[str, str]) -> str:
+    """Tags, and the fused tokens whatever their case."""
+    return rf"(?U)<[^>]+>|\b(?i:{'|'.join(sorted(table, key=len, reverse=True))})\b"
 
 
 def unglue(text: Column, glued: dict[str, str] | None = None) -> Column:
     """Fused tokens taken apart by the table, outside tags."""
     table = tables.GLUED if glued is None else glued
+    if not table:
+        return text
     to = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-    return map_matches(text, r"(?U)<[^>]+>|\b[A-Za-z]+\b", lambda t: F.when(t.startswith("<"), t).otherwise(F.coalesce(initial_like(F.try_element_at(to, F.lower(t)), t), t)))
+    return map_matches(text, _glued(table), lambda t: F.when(t.startswith("<"), t).otherwise(F.coalesce(initial_like(F.try_element_at(to, F.lower(t)), t), t)))
 
 
 def fix_text(texts: DataFrame, key: str, text: str, dictionary: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """Citations, hyphen breaks, soft wraps and fused tokens, in that order, with the counts of each pass. ``key`` is unique."""
-    frequency = token_frequency(texts, text) if frequency is None else frequency
+    frequency = written(token_frequency(texts, text), "frequency") if frequency is None else frequency
     cited = texts.withColumn("n_citation", F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[1lI][Cc]\s*lem\s+\d+\s*:\s*\d+"), F.lit(0)), lambda m: normalize_citation(m) != m))).withColumn(text, normalize_citation(F.col(text)))
     soft = merge_soft_wraps(join_hyphen_breaks(cited, key, text, dictionary, frequency), key, text, dictionary, frequency)
-    known = sorted(tables.GLUED)
-    count = F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)<[^>]+>|\b[A-Za-z]+\b"), F.lit(0)), lambda t: F.lower(t).isin(*known)))
+    count = F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(_glued(tables.GLUED)), F.lit(0)), lambda t: ~t.startswith("<")))
     return soft.withColumn("n_unglued", count).withColumn(text, unglue(F.col(text)))
 
 

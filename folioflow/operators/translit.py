@@ -85,21 +85,30 @@ def yi_ye_prefix(text: Column, exceptions: frozenset[str] | None = None) -> Colu
         F.concat(F.substring(w, 1, 1), F.when(F.substring(w, 2, 1).isin("E", "I"), "AH").otherwise("ah"), F.substring(w, 3, 1_000_000))))
 
 
-def el_suffix(text: Column, exceptions: frozenset[str] | None = None, passes: int = 4) -> Column:
+def el_suffix(text: Column, exceptions: frozenset[str] | None = None) -> Column:
     """-el of capitalized names to -al, each letter in its case.
 
-    A name with several such parts, set off by apostrophes, changes from the last part on, one in a pass; ``passes`` is
-    one more than the parts that the corpus' names have.
+    A name may have several such parts, set off by apostrophes. They change from the last part on, as if each pass took the longest name that ends in
+    -el, until no pass changes anything; a name that is an exception up to the end of a part keeps that part and those before it.
     """
     words = sorted(tables.EL_SUFFIX_EXCEPTIONS if exceptions is None else exceptions)
 
-    def changed(w: Column) -> Column:
-        e, el = F.substring(w, -2, 1), F.substring(w, -1, 1)
-        return F.when(F.lower(w).isin(*words), w).otherwise(F.concat(F.substring(w, F.lit(1), F.length(w) - 2), F.when(e.isin("E", "Ĕ"), "A").otherwise("a"), F.when(el == "L", "L").otherwise("l")))
+    def changed(name: Column) -> Column:
+        parts = F.split(name, r"(?<=[Ll])(?=[^\p{L}\p{N}_])", -1)
+        upto = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), ""))
+        ends = F.transform(upto, lambda u: u.rlike("^..+[EeĔĕ][Ll]$"))
+        stays = F.transform(upto, lambda u, i: F.get(ends, i) & F.lower(u).isin(*words))
+        kept = F.array_position(F.reverse(stays), F.lit(True))  # from the end
+        last_kept = F.when(kept > 0, F.size(parts) - kept).otherwise(-1)
 
-    for _ in range(passes):
-        text = map_matches(text, rf"(?U)\b[A-Z\x{{100}}-\x{{24F}}\x{{1E00}}-\x{{1EFF}}][{_NAME}'’]+[EeĔĕ][Ll]\b", changed)
-    return text
+        def part(p: Column, i: Column) -> Column:
+            e, el = F.substring(p, -2, 1), F.substring(p, -1, 1)
+            new = F.concat(F.substring(p, F.lit(1), F.length(p) - 2), F.when(e.isin("E", "Ĕ"), "A").otherwise("a"), F.when(el == "L", "L").otherwise("l"))
+            return F.when(F.get(ends, i) & (i > last_kept), new).otherwise(p)
+
+        return F.array_join(F.transform(parts, part), "")
+
+    return map_matches(text, rf"(?U)\b[A-Z\x{{100}}-\x{{24F}}\x{{1E00}}-\x{{1EFF}}][{_NAME}'’]+[EeĔĕ][Ll]\b", changed)
 
 
 def annotate_name(text: Column) -> Column:

@@ -74,13 +74,13 @@ def extract(pages: DataFrame, anchors: DataFrame, grammars: DataFrame) -> DataFr
     return single.unionByName(testaments(pages, anchors, grammars))
 
 
-def notes(chars: DataFrame, anchors: DataFrame, files: list[tuple[str, int]]) -> DataFrame:
-    """Distinct footnotes with the book and chapter that their page belongs to; ``anchors`` has ord, id, hebrew, ch, printed."""
+def notes(chars: DataFrame, anchors: DataFrame, files: list[tuple[str, int]], buckets: int = 32) -> DataFrame:
+    """Distinct footnotes with the book and chapter that their page belongs to; ``anchors`` has ord, id, hebrew, ch, printed. ``buckets``: parts of the range of pages."""
     from ..operators.aggregates import keep_first_note
 
     found = filters.substantial_notes(layout.page_notes(layout.footnote_text(layout.footnote_chars(chars))))
     placed = found.withColumn("printed_page", joins.printed_page(F.col("pdf"), F.col("page"), files))
-    known = joins.asof_backward(placed, anchors.select("ord", "id", "hebrew", "ch", "printed"), "printed_page", "printed", "ord")
+    known = joins.asof_backward(placed, anchors.select("ord", "id", "hebrew", "ch", "printed"), "printed_page", "printed", "ord", buckets=buckets)
     rows = known.select("term", "body", F.col("printed_page").alias("page"), "pdf", "pos", F.col("match.id").alias("book_id"), F.col("match.hebrew").alias("book"), F.col("match.ch").alias("chapter"))
     return keep_first_note(rows, F.struct("page", "pos")).drop("pos")
 

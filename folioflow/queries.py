@@ -56,13 +56,13 @@ def token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.token_frequency(table(spark, sf_dir, "documents"))
 
 
-@query(r"""SELECT token, lang FROM (SELECT token, arg_min(lang, doc_id) AS lang, min(doc_id) AS p FROM (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{12,}'))) AS token FROM documents) GROUP BY token)
-ORDER BY length(token) DESC, p, token LIMIT 20""")
+@query(r"""SELECT token, example FROM (SELECT lower(x) AS token, arg_min(x, doc_id * 1000000 + i) AS example, min(doc_id * 1000000 + i) AS p FROM
+(SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM documents)) GROUP BY 1) ORDER BY length(example) DESC, p LIMIT 20""")
 def longest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty longest tokens with their first language, in order of first sight (a top-k report)."""
-    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{12,}"), F.lit(0)))).alias("token"))
-    seen = words.groupBy("token").agg(F.min_by("lang", "doc_id").alias("lang"), F.min("doc_id").alias("p"))
-    return seen.orderBy(F.length("token").desc(), "p", "token").limit(20).select("token", "lang")
+    """The form in which each token is first seen; the twenty longest, in order of first sight (a top-k report)."""
+    seen = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("i", "example"))
+    rows = seen.select(F.lower("example").alias("token"), "example", F.struct("doc_id", "i").alias("pos"))
+    return aggregates.first_examples(rows, "token", "example", "pos").select("token", "example")
 
 
 @query("""SELECT c_custkey, n_orders, expected, round_even(n_orders / expected * 100, 1)::DOUBLE AS recovery, n_orders / expected < 0.7 AS below FROM
@@ -121,12 +121,22 @@ def sections_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.by_section(books, sections)
 
 
+@query("SELECT i - 1 AS ord, n_name, (row_number() OVER (PARTITION BY i ORDER BY n_name))::INT AS place FROM (SELECT unnest(['EUROPE', 'ASIA', 'AMERICA', 'AFRICA']) AS r, unnest([1, 2, 3, 4]) AS i) JOIN region ON r_name = r JOIN nation ON n_regionkey = r_regionkey")
+def section_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within the groups of a fixed order."""
+    sections = literal(spark, [(k, r, r) for k, r in enumerate(_REGIONS)], "ord int, key string, label string")
+    books = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).withColumnRenamed("r_name", "section")
+    return aggregates.section_rank(books, sections, "n_name").select("ord", "n_name", "place")
+
+
 @query("""SELECT lang, [concat(len(l), ' long texts: [', array_to_string(list_sort(l)[1:5], ', '), ']')] AS issues FROM (SELECT lang, list(doc_id) FILTER (n_chars > 20000) AS l FROM documents GROUP BY lang) WHERE len(l) > 0
 UNION ALL SELECT lang, []::VARCHAR[] FROM documents GROUP BY lang HAVING count(*) FILTER (n_chars > 20000) = 0""")
 def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issue texts with counts and the first five. The lists are of long texts, one in some hundreds."""
-    listed = table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.when(F.col("n_chars") > 20000, F.col("doc_id")))).alias("l"))
-    return listed.select("lang", aggregates.issues([(F.col("l"), "long texts", F.col("l"))]).alias("issues"))
+    """Issue texts with counts and the first five, of which no more are gathered."""
+    docs = table(spark, sf_dir, "documents")
+    long_ = aggregates.first_values(docs.where("n_chars > 20000"), ["lang"], "doc_id")
+    rows = docs.select("lang").distinct().join(long_, "lang", "left")
+    return rows.select("lang", aggregates.issues([(F.coalesce("n", F.lit(0)), "long texts", F.col("values"))]).alias("issues"))
 
 
 # Filters and lookups
@@ -134,10 +144,16 @@ def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ar') OR contains(lower(p_brand), 'ar')")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case-blind substring search over two columns."""
+    """Case-blind substring search over two columns."""
     return filters.search(table(spark, sf_dir, "part"), "  AR ", ["p_name", "p_brand"]).select("p_partkey", "p_name", "p_brand")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '07')")
+def id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id holds a part."""
+    return filters.id_contains(table(spark, sf_dir, "customer"), "07", "c_name").select("c_custkey", "c_name")
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by its key."""
@@ -172,11 +188,11 @@ def drop_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(segment.drop_number_lines(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, source, length(text)::INT AS n FROM documents WHERE length(source) >= 5 AND source NOT IN ('src10', 'src12') AND length(text) >= 300")
+@query("SELECT doc_id, source, length(text)::INT AS n FROM documents WHERE length(source) >= 5 AND source NOT IN ('src10', 'src12') AND length(text) >= 300 AND trim(text) <> ''")
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of some length whose term isn't in the stop list."""
     notes = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("term"), F.col("text").alias("body"))
-    return filters.substantial_notes(notes, ("src10", "src12"), 5, 300).select("doc_id", F.col("term").alias("source"), F.length("body").alias("n"))
+    return filters.substantial_notes(filters.non_blank(notes, "body"), ("src10", "src12"), 5, 300).select("doc_id", F.col("term").alias("source"), F.length("body").alias("n"))
 
 
 # Joins
@@ -208,10 +224,9 @@ def dictionary_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH n AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, s, len(string_split(s, ' ')) AS k FROM (SELECT item_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(0, greatest(1, len(w) - 4), 4), lambda i: array_to_string(w[i + 1:i + 8], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM n)),
-ks AS (SELECT DISTINCT k FROM win), d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents),
-h AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k))
-SELECT DISTINCT item_id, doc_id FROM win JOIN h USING (s)""")
+win AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(0, greatest(1, len(w) - 4), 4), lambda i: array_to_string(w[i + 1:i + 8], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM n)),
+d AS (SELECT doc_id, array_to_string({_WORDS.format(c='text')}, ' ') AS t FROM documents)
+SELECT DISTINCT item_id, doc_id FROM win JOIN d ON contains(t, s)""")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a word window of a benchmark item."""
     needles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item_text"))
@@ -233,10 +248,10 @@ def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_name", joins.lookup({"ASIA": "east", "EUROPE": "west"}, F.col("r_name")).alias("side"))
 
 
-@query("SELECT c_custkey AS id FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT o_orderkey AS id FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_linenumber = 5) USING (o_orderkey)")
 def missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index rows without a text."""
-    return corpus.missing_files(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    """Index rows without a text: orders without a fifth line."""
+    return corpus.missing_files(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("id")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey <= 700 THEN 'one' ELSE 'two' END AS pdf, (CASE WHEN p_partkey <= 700 THEN p_partkey ELSE p_partkey - 700 END)::INT AS page, p_partkey::INT AS printed FROM part")
@@ -247,6 +262,23 @@ def piecewise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "m.pdf", "m.page", joins.printed_page(F.col("m.pdf"), F.col("m.page"), files).alias("printed"))
 
 
+@query("SELECT o_orderkey, o_custkey::INT AS printed, least(o_custkey + 2, 1000)::INT AS page FROM orders")
+def anchor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a file from the printed page, at most the last one."""
+    from .operators.anchors import offset_pages
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("printed"))
+    return offset_pages(rows, 2, F.lit(1000))
+
+
+@query(r"SELECT DISTINCT doc_id AS page FROM documents WHERE regexp_matches(text, '\bthe +[a-z]+ of\b')")
+def opener_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages on which a text opens."""
+    from .operators.anchors import opener_pages as pages_of
+
+    return pages_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text"), r"\bthe +[a-z]+ of\b")
+
+
 # Sequences
 
 
@@ -347,15 +379,43 @@ def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("l_orderkey", F.transform(accepted, lambda x: x.n).alias("accepted"))
 
 
+_PLACED = """w AS (SELECT (l_orderkey % 4)::VARCHAR AS pdf, (l_orderkey // 64)::INT AS page, ((l_orderkey % 64) // 4 * 10 + l_linenumber)::INT AS pos, l_partkey::VARCHAR AS text, (l_suppkey % 100)::DOUBLE AS x0,
+(l_suppkey % 100 + CASE WHEN l_linenumber = 3 THEN 40 ELSE 4 END)::DOUBLE AS x1, l_quantity AS top, l_quantity + 4 AS bottom, 6 + l_partkey % 5 // 2 * 2 AS size FROM lineitem)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of 16 orders as the words of a page, placed by their numbers."""
+    at = F.col("l_suppkey") % 100
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 4).cast("string").alias("pdf"), F.floor(F.col("l_orderkey") / 64).cast("int").alias("page"), (F.floor(F.col("l_orderkey") % 64 / 4) * 10 + F.col("l_linenumber")).cast("int").alias("pos"),
+        F.col("l_partkey").cast("string").alias("text"), at.cast("double").alias("x0"), (at + F.when(F.col("l_linenumber") == 3, 40).otherwise(4)).cast("double").alias("x1"), F.col("l_quantity").alias("top"),
+        (F.col("l_quantity") + 4).alias("bottom"), (6 + F.floor(F.col("l_partkey") % 5 / 2) * 2).cast("double").alias("size"), F.lit(100.0).alias("page_width"), F.lit(60.0).alias("page_height"))
+
+
+@query(f"""WITH RECURSIVE {_PLACED}, band AS (SELECT pdf, page, coalesce(max(bottom) FILTER (x0 < 45 AND x1 > 55 AND top < 9), 0.0) AS hy FROM w GROUP BY ALL),
+r AS (SELECT w.*, top < hy - 0.5 AS head, x0 + (x1 - x0) / 2 >= 50 AS rgt FROM w JOIN band USING (pdf, page)),
+sides AS (SELECT 'head' AS side, * FROM r WHERE head UNION ALL SELECT 'l', * FROM r WHERE NOT head AND NOT rgt UNION ALL SELECT 'r', * FROM r WHERE NOT head AND rgt UNION ALL SELECT 'body', * FROM r WHERE NOT head),
+o AS MATERIALIZED (SELECT pdf, page, side, top::DOUBLE AS top, x0, text, row_number() OVER (PARTITION BY pdf, page, side ORDER BY top, pos, x0, text) AS i FROM sides),
+f AS (SELECT pdf, page, side, 1::BIGINT AS i, [{{'total': top, 'words': [{{'x0': x0, 'k': 1::BIGINT, 't': text}}]}}] AS acc FROM o WHERE i = 1 UNION ALL
+SELECT pdf, page, side, i, CASE WHEN p > 0 THEN list_transform(acc, lambda b, k: CASE WHEN k = p THEN {{'total': b.total + top, 'words': list_append(b.words, {{'x0': x0, 'k': i, 't': text}})}} ELSE b END)
+ELSE list_append(acc, {{'total': top, 'words': [{{'x0': x0, 'k': i, 't': text}}]}}) END FROM (SELECT o.*, f.acc, coalesce(list_position(list_transform(f.acc, lambda b: abs(b.total / len(b.words) - o.top) <= 5), true), 0) AS p
+FROM f JOIN o ON o.pdf = f.pdf AND o.page = f.page AND o.side = f.side AND o.i = f.i + 1)),
+done AS (SELECT pdf, page, side, arg_max(acc, i) AS acc FROM f GROUP BY ALL),
+lines AS (SELECT pdf, page, side, list_transform(list_sort(list_transform(acc, lambda b, k: {{'mean': b.total / len(b.words), 'k': k, 'words': b.words}})), lambda b: array_to_string(list_transform(list_sort(b.words), lambda x: x.t), ' ')) AS l FROM done),
+n AS (SELECT pdf, page, count(*) FILTER (NOT head) AS body, count(*) FILTER (NOT head AND rgt) AS r, count(*) FILTER (NOT head AND NOT rgt) AS l, max(x1) FILTER (NOT head AND NOT rgt) AS le, min(x0) FILTER (NOT head AND rgt) AS rs FROM r GROUP BY ALL),
+p AS (SELECT pdf, page, coalesce(any_value(l) FILTER (side = 'head'), []) AS h, coalesce(any_value(l) FILTER (side = 'l'), []) AS l, coalesce(any_value(l) FILTER (side = 'r'), []) AS r, coalesce(any_value(l) FILTER (side = 'body'), []) AS b FROM lines GROUP BY ALL)
+SELECT pdf, page, array_to_string(CASE WHEN n.body > 0 AND NOT (n.r = 0 OR n.l = 0 OR n.rs >= n.le - 5) AND (n.r < 0.2 * n.body OR n.l < 0.2 * n.body) THEN list_concat(p.h, p.b) ELSE list_concat(list_concat(p.h, p.l), p.r) END, chr(10)) AS text FROM p JOIN n USING (pdf, page)""")
 def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and columns of words placed by their numbers."""
-    words = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 64).cast("string").alias("pdf"), F.floor(F.col("l_orderkey") / 64).cast("int").alias("page"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("text"),
-        (F.col("l_suppkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 100 + 4).cast("double").alias("x1"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 4).alias("bottom"), F.lit(100.0).alias("page_width"), F.lit(60.0).alias("page_height"))
-    return layout.page_text(words)
+    """Headers, columns and lines of placed words."""
+    return layout.page_text(_placed(spark, sf_dir))
 
 
-QUERIES["line_cluster"] = line_cluster
+@query(f"""WITH {_PLACED}, c AS (SELECT pdf, page, round_even(size, 0) AS s, count(*) AS c, min(pos) AS p FROM w GROUP BY ALL), b AS (SELECT pdf, page, arg_max(s, c * 1000 - p) AS body FROM c GROUP BY ALL),
+e AS (SELECT pdf, page, max(bottom) AS e FROM w JOIN b USING (pdf, page) WHERE abs(size - body) <= 0.7 GROUP BY ALL)
+SELECT pdf, page, pos, text FROM w JOIN b USING (pdf, page) LEFT JOIN e USING (pdf, page) WHERE NOT coalesce(size < body - 0.7 AND top >= e - 1, FALSE)""")
+def footnote_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters but those smaller than the body of their page and below it."""
+    return layout.drop_footnotes(_placed(spark, sf_dir)).select("pdf", "page", "pos", "text")
 
 
 # Functions
@@ -455,7 +515,7 @@ _SPAN = '<span class="dn">{}</span>'
 _RULE_CASES = [
     ("possessive", "God's Gods", f"{_SPAN.format('Aluahim')}'s {_SPAN.format('Aluahim')}s"), ("case", "GOD god", f"{_SPAN.format('ALUAHIM')} {_SPAN.format('Aluahim')}"),
     ("longest", "the Lord God", f"{_SPAN.format('Yahuah')} {_SPAN.format('Aluahim')}"), ("prefix", "Elect Elam elbow", "Elect Alam Albow"),
-    ("yi_ye", "Yerushalayim YERUSHALAYIM Year", "Yahrushalayim YAHRUSHALAYIM Year"), ("el", "Uriel URIEL Shemu’ĕl wheel", "Urial URIAL Shemu’al wheel"),
+    ("yi_ye", "Yerushalayim YERUSHALAYIM Year", "Yahrushalayim YAHRUSHALAYIM Year"), ("el", "Uriel URIEL Shemu’ĕl wheel", "Urial URIAL Shemu’al wheel"), ("parts", "Yael’el’el’EL'el’el", "Yaal’al’al’AL'al’al"),
     ("name", "HWHY", f'({_SPAN.format("YAHUAH")}) <span class="hwhy">HWHY</span>'), ("stranded", f"Yisra’{_SPAN.format('Al')}ites", "Yasharalites"), ("null", None, None),
 ]
 
@@ -467,16 +527,25 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPAIR_CASES = [(1, "the moun tains", "the mountains"), (2, "Aram is", "Aram is"), (3, "Twentyone men", "Twenty-one men"), (4, "moun- tains <b>moun tains</b> x", "mountains <b>mountains</b> x"),
-                 (5, "ci ties mak ing lClem 3:4", "cities making 1Clem 3:4"), (6, None, None), (7, "", "")]
+                 (5, "ci ties mak ing lClem 3:4", "cities making 1Clem 3:4"), (6, None, None), (7, "", ""), (8, "x ka lo mi nu pe ro su ti vu za y", "x kalominuperosutivuza y")]
 
 
 @query(_values([(k, o) for k, _, o in _REPAIR_CASES], "k, output"))
 def repair_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All repairs, on literal cases."""
-    words = literal(spark, [(w,) for w in "the mountains aramis city make aram".split()], "word string")
+    words = literal(spark, [(w,) for w in ["the", "mountains", "aramis", "city", "make", "aram", *("kalominuperosutivuza"[: 2 * k] for k in range(2, 11))]], "word string")
     return repair.fix_text(literal(spark, [(k, i) for k, i, _ in _REPAIR_CASES], "k int, t string"), "k", "t", words).select("k", F.col("t").alias("output"))
 
 
+@query()
+def repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repairs over whole documents, by the words of the benchmark and the corpus' own frequencies, with the counts of each pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    dictionary = table(spark, sf_dir, "benchmark").select(F.explode(tx.ascii_tokens(F.col("text"))).alias("word")).distinct()
+    fixed = repair.fix_text(docs, "doc_id", "t", dictionary)
+    return fixed.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), "n_citation", "n_hyphen", "n_soft", "n_unglued")
+
+
 @query(r"""WITH t AS (SELECT lower(x) AS token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM documents) GROUP BY 1), d AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark)
 SELECT token AS word, token IN (SELECT w FROM d) AS direct, freq FROM t""")
 def word_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -596,9 +665,64 @@ def last_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.last_read(_mark_events(spark, sf_dir)).select("user_id", "last.book", "last.chapter")
 
 
+_FOLDED = """e AS MATERIALIZED (SELECT user_id, event_type AS a, 'b' || event_id % 3 AS b, (event_id % 2)::INT AS c, CASE WHEN event_id % 5 = 0 THEN 1 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, []::STRUCT(b VARCHAR, c INT, v INT)[] AS s, NULL::VARCHAR AS r FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.i, CASE WHEN a = 'signup' THEN [] WHEN a = 'purchase' OR a = 'click' AND NOT list_contains(s, {'b': b, 'c': c, 'v': v}) THEN list_concat([{'b': b, 'c': c, 'v': v}], list_filter(s, lambda x: x IS DISTINCT FROM {'b': b, 'c': c, 'v': v}))[1:6]
+WHEN a IN ('error', 'click') THEN list_filter(s, lambda x: x IS DISTINCT FROM {'b': b, 'c': c, 'v': v}) ELSE s END, CASE WHEN a = 'signup' THEN NULL WHEN a = 'view' THEN b || ':' || c ELSE r END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1),
+st AS (SELECT user_id, arg_max(s, i) AS s, arg_max(coalesce(r, ''), i) AS r FROM f GROUP BY 1)"""
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks of all events, of which sign-ups clear everything."""
+    cleared = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), F.lit("clear").alias("action"), F.lit("b").alias("book"), F.lit(0).alias("chapter"), F.lit(None).cast("int").alias("verse"))
+    return marks.fold_marks(_mark_events(spark, sf_dir).unionByName(cleared), cap=6)
+
+
+@query(f"WITH RECURSIVE {_FOLDED} SELECT user_id, coalesce(array_to_string(list_transform(s, lambda x: x.b || ':' || x.c || ':' || coalesce(x.v::VARCHAR, '-')), ','), '') AS marks, r AS last_read FROM st")
+def marks_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7, M4: a state that clear events empty, and the place last read since."""
+    shown = F.transform("marks", lambda m: F.concat_ws(":", m["book"], m["chapter"].cast("string"), F.coalesce(m["verse"].cast("string"), F.lit("-"))))
+    return _state(spark, sf_dir).select("user_id", F.array_join(shown, ",").alias("marks"), F.coalesce(F.concat_ws(":", "last_read.book", "last_read.chapter"), F.lit("")).alias("last_read"))
+
+
+@query(f"WITH RECURSIVE {_FOLDED} SELECT user_id, list_sort(list_transform(list_filter(s, lambda x: x.b = 'b1' AND x.c = 0 AND x.v IS NOT NULL), lambda x: x.v)) AS verses FROM st")
+def verses_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: the verses marked in a chapter."""
+    return marks.marked_verses(_state(spark, sf_dir), "b1", 0)
+
+
+@query(f"WITH RECURSIVE {_FOLDED} SELECT user_id, len(s)::INT AS n_marks, len(s) > 0 OR user_id % 7 = 0 AS had FROM st")
+def marks_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state written as JSON and read over a state of other marks, which it replaces; JSON that can't be read changes nothing."""
+    state = _state(spark, sf_dir)
+    files = marks.export_marks(state).withColumn("json", F.when(F.col("user_id") % 7 == 0, F.lit('{"bookmarks": [')).otherwise(F.col("json")))
+    back = marks.import_marks(state.select("user_id", F.lit(None).cast("struct<book:string,chapter:int,ts:bigint>").alias("last_read"), F.when(F.col("user_id") % 7 == 0, F.col("marks")).otherwise(F.array(F.struct(
+        F.lit("old").alias("book"), F.lit(1).alias("chapter"), F.lit(1).alias("verse"), F.lit(0).cast("bigint").alias("ts")))).alias("marks")), files)
+    return back.select("user_id", F.size("marks").alias("n_marks"), ((F.size("marks") > 0) | (F.col("user_id") % 7 == 0)).alias("had"))
+
+
+@query(r"""SELECT user_id AS key, CASE WHEN last % 3 = 0 THEN NULL ELSE (props ->> 'k')::INT END AS k FROM (SELECT user_id, arg_max(props, event_id) AS props, max(event_id) AS last FROM events WHERE event_id % 5 <> 0 GROUP BY 1)""")
+def kept_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values kept by key, the last one written counts; one that can't be read is null."""
+    broken = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 5 != 0, broken).alias("value"), F.col("event_id").alias("seq"))
+    store = marks.keep_value(changes.select("key", "value").limit(0), changes)
+    return store.select("key", marks.kept_value(F.col("value"), "k int").k.alias("k"))
+
+
+@query("SELECT (conv_id % 20)::VARCHAR AS id, string_agg(DISTINCT (conv_id // 20 + 1)::VARCHAR, ',' ORDER BY (conv_id // 20 + 1)::VARCHAR) AS as_text, array_to_string(list_sort(list(DISTINCT conv_id // 20 + 1)), ',') AS chapters FROM conversations GROUP BY 1")
+def chapter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters of a nested book in order of their numbers, 10 after 9."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("string").alias("id"), (F.floor(F.col("conv_id") / 20) + 1).cast("int").alias("ch"), F.col("turn").cast("int").alias("pos"), F.col("turn").cast("int").alias("n"),
+                                                        F.col("text").alias("t"), F.lit(1).alias("page"), F.lit("f").alias("pdf"))
+    meta = rows.select("id").distinct().select("id", F.col("id").alias("hebrew"), F.col("id").alias("english"), F.lit("s").alias("section"), F.lit(1).alias("chapter_count"))
+    keys = F.map_keys("chapters")
+    return corpus.nest(rows, meta).select("id", F.array_join(F.array_sort(keys), ",").alias("as_text"), F.array_join(keys, ",").alias("chapters"))
+
+
 @query("SELECT conv_id::VARCHAR AS id, 1 AS ch, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS pos, turn::INT AS n, text AS t FROM conversations")
 def nest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verses nested into books, and flat again."""
+    """Verses nested into books, and flat again."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.lit(1).alias("ch"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("pos"), F.col("turn").cast("int").alias("n"), F.col("text").alias("t"), F.lit(1).alias("page"), F.lit("f").alias("pdf"))
     meta = rows.select("id").distinct().select("id", F.col("id").alias("hebrew"), F.col("id").alias("english"), F.lit("s").alias("section"), F.lit(1).alias("chapter_count"))
     return corpus.verses(corpus.nest(rows, meta)).select("id", "ch", "pos", "n", "t")

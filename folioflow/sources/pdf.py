@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Pages whose texts go on together.
+PAGES = 256
 PAGE_TEXT = "pdf string, page int, text string"
 PAGE_CHARS = "pdf string, page int, pos int, text string, x0 double, x1 double, top double, bottom double, size double, width double, page_width double, page_height double"
 
@@ -24,8 +27,12 @@ def read_page_text(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for pdf, content in zip(batch["pdf"], batch["content"], strict=True):
-                for k, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1):
-                    yield pd.DataFrame({"pdf": [pdf], "page": [k], "text": [page.extract_text() or ""]})
+                texts = (page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+                for first in itertools.count(1, PAGES):
+                    part = list(itertools.islice(texts, PAGES))
+                    if not part:
+                        break
+                    yield pd.DataFrame({"pdf": pdf, "page": range(first, first + len(part)), "text": part})
 
     return _files(spark, path).mapInPandas(run, PAGE_TEXT)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,108 @@ def test_audit_and_check(spark):
     expected = spark.createDataFrame([("a", 3)], "id string, expected int")
     checked = {r.id: r for r in audit.check_books(meta, verses, chapters, expected, pages).collect()}
     assert checked["a"].recovery == 66.7 and checked["a"].errors[0] == "recovery 67% below 70%" and checked["m"].status == "MISSING"
+
+
+def plain_merge(text, english, direct, freq, stop):
+    """The left fold over words with one space between them, in plain Python; tags are left aside."""
+    out, joins = [], 0
+    for piece in re.split(r"(<[^>]+>)", text):
+        if piece.startswith("<") and piece.endswith(">") and len(piece) > 2:
+            out.append(piece)
+            continue
+        tokens, i = re.findall(r"[A-Za-z]+|[^A-Za-z]+", piece), 0
+        while i + 2 < len(tokens):
+            a, gap, b = tokens[i : i + 3]
+            j = a + b
+            trap = a[0].isupper() and (len(a) == 1 or a[1:].islower()) and j.lower() not in direct
+            if (a.isalpha() and b.isalpha() and gap == " " and not {a.lower(), b.lower()} & stop and not b[0].isupper() and not trap and english(j.lower())
+                    and (j.lower() in direct or freq.get(j.lower(), 0) >= 2 or freq.get(a.lower(), 0) <= 2 or freq.get(b.lower(), 0) <= 2) and not (english(a.lower()) and english(b.lower()))):
+                tokens[i : i + 3] = [j]
+                joins += 1
+            else:
+                i += 1
+        out += tokens
+    return "".join(out), joins
+
+
+def test_soft_wraps_agree_with_a_plain_fold(spark):
+    from folioflow.functions import tables
+
+    rnd = random.Random(6)
+    syllables = "ka lo mi nu pe ro su ti vu za ed ing s".split()
+    direct = {"".join(rnd.choice(syllables[:10]) for _ in range(n)) for n in (1, 2, 2, 2, 2, 3, 3, 3, 3, 3) for _ in range(12)} | {"".join(syllables[:k]) for k in range(2, 11)}
+
+    def english(w):
+        return any(w == d or any(w.endswith(x) and len(w) > len(x) + 1 and stem == d for x in ("s", "ed", "ing", "es", "ly", "er", "ies", "ied") for stem in stems_of(w, x)) for d in direct)
+
+    def stems_of(w, x):
+        base = w[: -len(x)]
+        yield base
+        if x in ("ies", "ied"):
+            yield base + "y"
+        if x in ("ing", "ed"):
+            yield base + "e"
+            if len(base) >= 2 and base[-1] == base[-2]:
+                yield base[:-1]
+
+    stop = sorted(tables.STOP_GLUE)[:3]
+    pick = lambda: rnd.choice([*syllables, *syllables, *syllables, "Ka", "Lo", "X", *stop, "<b>", "é", "9"])
+    texts = ["".join(pick() + rnd.choice([" ", " ", " ", " ", "", "  ", "\n"]) for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(150)]
+    texts += [" ".join(syllables[:10]), "x " + " ".join(syllables[:10]) + " y", "the " + "ka lo " * 700]
+    freq = {s: rnd.choice([0, 1, 3, 9]) for s in [*syllables, *sorted(direct)]}
+    words = spark.createDataFrame([(w,) for w in sorted(direct)], "word string")
+    frequency = spark.createDataFrame([(w, n) for w, n in freq.items() if n], "token string, freq long")
+    rows = repair.merge_soft_wraps(spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, t string"), "k", "t", words, frequency)
+    got = {r.k: (r.t, r.n_soft) for r in rows.collect()}
+    assert got.pop(-1) == (None, 0)
+    assert {k: plain_merge(t, english, direct, freq, set(tables.STOP_GLUE)) for k, t in enumerate(texts)} == got
+    assert max(n for _, n in got.values()) > 4
+
+
+def test_names_change_to_a_fixed_point(spark):
+    from folioflow.functions import tables
+
+    pattern = re.compile(r"\b[A-ZĀ-ɏḀ-ỿ][A-Za-zÀ-ɏḀ-ỿ'’]+[EeĔĕ][Ll]\b")
+
+    def one(m):
+        w = m[0]
+        return w if w.lower() in tables.EL_SUFFIX_EXCEPTIONS else w[:-2] + ("A" if w[-2].isupper() else "a") + ("L" if w[-1].isupper() else "l")
+
+    def plain(t):
+        while (new := pattern.sub(one, t)) != t:
+            t = new
+        return t
+
+    rnd = random.Random(1)
+    parts = ["Yael", "el", "Uriel", "’", "'", "ĕl", "EL", " ", "wheel", "Wheel", "x", "Gabri", "-", ".", "Èl", "él", "9", *(w.title() for w in sorted(tables.EL_SUFFIX_EXCEPTIONS)[:6])]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(1000)] + ["Yael’el’el’el’el’el"]
+    got = [r.o for r in spark.createDataFrame([(t,) for t in texts], "t string").select(translit.el_suffix(F.col("t")).alias("o")).collect()]
+    assert got == list(map(plain, texts))
+
+
+def test_containment_is_a_substring_test(spark):
+    rnd = random.Random(2)
+    words = ["a", "ab", "nation", "nations", "the", "of", "x", "bb"]
+    make = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    needles = [make(rnd.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 9, 14])) for _ in range(60)] + ["n", "tion", "nation of the", "s of"]
+    hays = [make(rnd.choice([0, 1, 3, 12, 40])) for _ in range(40)] + [needles[k] + "s and more" for k in range(10)] + [""]
+    n, h = spark.createDataFrame(list(enumerate(needles)), "i int, needle string"), spark.createDataFrame([*enumerate(hays), (-1, None)], "j int, hay string")
+
+    def windows_of(t):
+        w = t.split()
+        return [" ".join(w)] if 0 < len(w) < 4 else [" ".join(w[s : s + 8]) for s in range(0, max(1, len(w) - 4), 4)] if w else []
+
+    for short in (True, False):
+        expected = {(i, j) for i, t in enumerate(needles) if short or len(t.split()) >= 4 for j, x in enumerate(hays) if any(w in " ".join(x.split()) for w in windows_of(t))}
+        got = [(r.i, r.j) for r in joins.contains_window(n, h, "needle", "hay", short=short).collect()]
+        assert set(got) == expected and len(got) == len(expected)
+    with pytest.raises(ValueError, match="both sides"):
+        joins.contains_window(n, n, "needle", "needle")
+
+
+def test_values_kept_by_key(spark):
+    store = spark.createDataFrame([("a", "1"), ("b", "{")], "key string, value string")
+    changes = spark.createDataFrame([("a", None, 3), ("b", '{"x": 2}', 1), ("c", "[", 2), ("c", "{}", 1)], "key string, value string, seq int")
+    kept = marks.keep_value(store, changes)
+    assert {r.key: r.value for r in kept.collect()} == {"a": "1", "b": '{"x": 2}', "c": "["}
+    assert {r.key: r.x for r in kept.select("key", marks.kept_value(F.col("value"), "x int").x.alias("x")).collect()} == {"a": None, "b": 2, "c": None}

@@ -108,3 +108,46 @@ def test_sample_corpus(spark):
     assert [(r.token, r.freq) for r in top] == [("the", 5371), ("and", 4900), ("of", 3340)]
     tags = verses.agg(*[F.sum(F.size(F.regexp_extract_all("t", F.lit(p), F.lit(0)))) for p in ('<span class="dn">', '<span class="hwhy">', "</span>")]).first()
     assert tuple(tags) == (1782, 269, 2051)
+
+
+@pytest.fixture()
+def readers(spark, tmp_path):
+    """Stand-ins for the optional readers: a file's pages are lines, its first word fails."""
+    (tmp_path / "pypdf.py").write_text(
+        "class Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t or None\n"
+        "class PdfReader:\n    def __init__(self, f): self.pages = [Page(t) for t in f.read().decode().split('\\n')]\n")
+    (tmp_path / "pdfplumber.py").write_text(
+        "class Page:\n    width, height = 100.0, 200.0\n    def __init__(self, t):\n"
+        "        self.chars = [dict(text=c, x0=float(i), x1=i + 1.0, top=2.0, bottom=3.0, size=9.0, width=1.0) for i, c in enumerate(t)]\n"
+        "class Document:\n    def __init__(self, f): self.pages = [Page(t) for t in f.read().decode().split('\\n')]\n"
+        "    def __enter__(self): return self\n    def __exit__(self, *a): pass\n"
+        "def open(f): return Document(f)\n")
+    for name in ("pypdf.py", "pdfplumber.py"):
+        spark.sparkContext.addPyFile(str(tmp_path / name))
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.pdf").write_text("\n".join(f"page {k}" for k in range(1, 601)))
+    (folder / "b.pdf").write_text("xy\n\nz")
+    return str(folder)
+
+
+def test_pages_of_files(spark, readers):
+    from folioflow.sources import pdf
+
+    texts = {(r.pdf, r.page): r.text for r in pdf.read_page_text(spark, readers).collect()}
+    assert texts == {("a.pdf", k): f"page {k}" for k in range(1, 601)} | {("b.pdf", 1): "xy", ("b.pdf", 2): "", ("b.pdf", 3): "z"}
+    chars = pdf.read_page_chars(spark, readers + "/b.pdf").orderBy("page", "pos").collect()
+    assert [(r.pdf, r.page, r.pos, r.text, r.x0, r.page_width) for r in chars] == [("b.pdf", 1, 0, "x", 0.0, 100.0), ("b.pdf", 1, 1, "y", 1.0, 100.0), ("b.pdf", 3, 0, "z", 0.0, 100.0)]
+
+
+def test_rewritten_partitions_and_notes(spark, tmp_path):
+    path = str(tmp_path / "books")
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "id string, n int, t string")
+    old.write.partitionBy("id").parquet(path)
+    before = {p.name for p in (tmp_path / "books" / "id=b").iterdir()}
+    new = spark.createDataFrame([("a", 1, "X"), ("a", 2, "y"), ("b", 1, "z")], "id string, n int, t string")
+    corpus.rewrite_changed(spark, old, new, path, ["id", "n"], "t", "id")
+    assert sorted((r.id, r.n, r.t) for r in spark.read.parquet(path).collect()) == [("a", 1, "X"), ("a", 2, "y"), ("b", 1, "z")]
+    assert {p.name for p in (tmp_path / "books" / "id=b").iterdir()} == before
+    corpus.write_notes(spark.createDataFrame([("T", "b", 1)], "term string, body string, page int"), str(tmp_path / "notes"))
+    assert [tuple(r) for r in spark.read.schema("term string, body string, page int").json(str(tmp_path / "notes")).collect()] == [("T", "b", 1)]
