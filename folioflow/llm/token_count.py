@@ -6,8 +6,8 @@ the sums of their subtrees. An edit finds its place by the sums of lengths, re-s
 boundary before the edit that its context can't move, until a new boundary meets an old one again, encodes only those pre-tokens
 and updates the sums on the paths to the root.
 
-Trees are kept as a table: a row a document, with the lengths and counts of its pre-tokens and the digest of the text they are of.
-Counting edits reads that table, and encodes no text from its start; it gives the table of the trees after the edits.
+Trees are kept as a table: a row a document, with the root's sums, the lengths and counts of its pre-tokens (a byte each, more for one of 255 or over) and the digest of
+the text they are of. Counting edits reads that table, and encodes no text from its start; it gives the table of the trees after the edits.
 
 The vocabulary file is read where it lies on each machine; its path is a parameter.
 
@@ -219,17 +219,39 @@ def redactions(text: str) -> list[Edit]:
     return mail + [(m.start(), m.end(), "<NUMBER>") for m in _NUMBER.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in mail)]
 
 
-_TREES = "id long, digest string, lengths array<int>, counts array<int>"
+_TREES = "id long, digest string, n_chars long, n_pretokens long, n_tokens long, lengths binary, counts binary"
+_TREE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 _COUNTED = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_reencoded long, n_tokens_after long"
 
 
+def packed(values: list[int]) -> bytes:
+    """The values in a byte each; 255 says that the next byte belongs to the same value."""
+    try:
+        got = bytes(values)
+        if 255 not in got:
+            return got
+    except ValueError:
+        pass
+    return b"".join(b"\xff" * (v // 255) + bytes([v % 255]) for v in values)
+
+
+def unpacked(data: bytes) -> list[int]:
+    x = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(x < 255)
+    return x.tolist() if len(ends) == len(x) else np.add.reduceat(x.astype(np.int64), np.concatenate([[0], ends[:-1] + 1])).tolist()
+
+
+def _tree_row(text: str, lengths: list[int], counts: list[int]) -> tuple:
+    return len(text), len(lengths), sum(counts), packed(lengths), packed(counts)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).withColumn("digest", F.md5(F.col("t").cast("binary")))
 
 
 def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, digest, lengths, counts) of every row of ``docs``: the leaves of its tree, and the MD5 of the text.
+    """(id, digest, n_chars, n_pretokens, n_tokens, lengths, counts) of every row of ``docs``: the root's sums and the leaves of its tree, and the MD5 of the text.
 
     Null and empty texts have trees without leaves; rows that repeat an id are rows of their own. Other columns play no part.
     """
@@ -238,61 +260,57 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = counter(path)
         for batch in batches:
-            got = [split.split(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "digest", "lengths", "counts"])
+            rows = [_tree_row(t, *split.split(t)) for t in (v.as_py() for v in batch.column(1))]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, _TREE_KINDS[2:], strict=True))], names=_names(_TREES))
 
     return _keyed(docs, id_col, text_col).mapInArrow(run, _TREES)
 
 
-def _sums(lists: pa.ListArray) -> np.ndarray:
-    ends = np.asarray(lists.offsets)
-    total = np.concatenate([[0], np.cumsum(np.asarray(lists.values), dtype=np.int64)])
-    return total[ends[1:]] - total[ends[:-1]]
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def edit_trees(trees: DataFrame, changed: DataFrame, vocabulary: str | None = None, leaves: bool = True) -> DataFrame:
-    """Every row of ``trees`` after the edits of ``changed`` (id, digest, t, edits): its columns, and the counts before and after.
+    """Every row of ``trees`` after the edits of ``changed`` (id, digest, t, edits): the counts before and after, and with ``leaves`` the new tree as column ``tree``.
 
-    A tree meets the changes of its id and text; those of other texts are left aside. Without ``leaves`` only the id and the counts are given.
-    ``changed`` has each id and digest once.
+    A tree meets the changes of its id and text; those of other texts are left aside. ``changed`` has each id and digest once.
     """
     path = vocabulary or default_vocabulary()
-    own, new = trees.select("id", "digest", "lengths", "counts"), changed.select(F.col("id").alias("i"), F.col("digest").alias("d"), "t", "edits")
-    met = own.join(new, own["id"].eqNullSafe(new["i"]) & (own["digest"] == new["d"]), "left").select("id", "digest", "lengths", "counts", "t", "edits")
-    names = [c.split()[0] for c in _COUNTED.split(", ")]
+    own, new = trees.select(*_names(_TREES)), changed.select(F.col("id").alias("i"), F.col("digest").alias("d"), "t", "edits")
+    met = own.join(new, own["id"].eqNullSafe(new["i"]) & (own["digest"] == new["d"]), "left").select(*_names(_TREES), "t", "edits")
+    kind = f"id long, {_COUNTED}" + (f", tree struct<{_TREES.replace(' ', ':').replace(',:', ', ')}>" if leaves else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = counter(path)
         for batch in batches:
-            lengths, counts = batch.column("lengths"), batch.column("counts")
-            n = np.asarray(lengths.value_lengths()).astype(np.int64)
-            before = _sums(counts)
-            n_edits, again, after = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), before.copy()
+            before = np.asarray(batch.column("n_tokens"))
+            n_edits, again, after = np.zeros(len(before), np.int64), np.zeros(len(before), np.int64), before.copy()
             fresh: dict[int, tuple] = {}
             texts = batch.column("t")
             for k in np.flatnonzero(~np.asarray(texts.is_null())).tolist():
                 text = texts[k].as_py()
                 edits = proper_edits([(x["s"], x["e"], x["r"]) for x in batch.column("edits")[k].as_py()], len(text))
-                tree = TokenTree(lengths[k].values.to_pylist(), counts[k].values.to_pylist())
+                tree = TokenTree(*(unpacked(batch.column(c)[k].as_py()) for c in ("lengths", "counts")))
                 text, again[k] = apply_edits(tree, text, edits, split)
                 n_edits[k], after[k] = len(edits), tree.total
                 if leaves:
-                    fresh[k] = (hashlib.md5(text.encode()).hexdigest(), *tree.leaves())
-            kept = [batch.column("id")]
+                    fresh[k] = (hashlib.md5(text.encode()).hexdigest(), *_tree_row(text, *tree.leaves()))
+            out = [batch.column(c) for c in ("id", "n_chars", "n_pretokens", "n_tokens")] + list(map(pa.array, (n_edits, again, after)))
             if leaves:
-                old = [batch.column(c).to_pylist() for c in ("digest", "lengths", "counts")]
+                old = [batch.column(c).to_pylist() for c in _names(_TREES)]
                 for k, row in fresh.items():
-                    for c, v in zip(old, row, strict=True):
+                    for c, v in zip(old[1:], row, strict=True):
                         c[k] = v
-                kept += [pa.array(c, t) for c, t in zip(old, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (_sums(lengths), n, before, n_edits, again, after))], names=[*(["id", "digest", "lengths", "counts"] if leaves else ["id"]), *names])
+                out.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(old, _TREE_KINDS, strict=True)], _names(_TREES)))
+            yield pa.RecordBatch.from_arrays(out, names=["id", *_names(_COUNTED), *(["tree"] if leaves else [])])
 
-    return met.mapInArrow(run, f"{_TREES if leaves else 'id long'}, {_COUNTED}")
+    return met.mapInArrow(run, kind)
 
 
 def count_tokens(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, trees: DataFrame | None = None,
                  leaves: bool = False) -> DataFrame:
-    """(id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after) of every row of ``docs``; with ``leaves`` also the tree after the edits.
+    """(id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after) of every row of ``docs``; with ``leaves`` also the ``tree`` after the edits.
 
     ``edits`` holds (id, start, end, replacement) in code points of the text as it is, end exclusive, a null
     replacement deletes; each row with an id gets that id's edits, and those of a null id are left aside. Places beyond the text are moved to its end; an edit that

@@ -52,8 +52,9 @@ def test_token_counts_of_odd_rows(spark, split):
     assert got == {(1, 40): (2, count("ring me at a.b@c.org or 555-123-4567 now!")), (2, 0): (1, count("new")), (3, 0): (1, 0), (1, 5): (2, count("ringn!")), (None, 5): (0, 2)}
     assert T.count_tokens(docs.limit(0), edits).count() == 0
     assert all(r.n_edits == 0 and r.n_tokens == r.n_tokens_after for r in T.count_tokens(docs, edits.limit(0)).collect())
-    trees = {r.id: sum(r.counts) for r in T.token_trees(docs.where("doc_id > 1")).collect()}
-    assert trees == {2: 0, 3: 0}
+    assert {r.id: (r.n_tokens, bytes(r.counts)) for r in T.token_trees(docs.where("doc_id > 1")).collect()} == {2: (0, b""), 3: (0, b"")}
+    for values in ([], [0, 3, 254], [255], [254, 255, 256, 0, 1000, 510, 7]):
+        assert T.unpacked(T.packed(values)) == values
     assert T.edited("mail a.b@c.org or 555-123-4567 x", T.proper_edits(T.redactions("mail a.b@c.org or 555-123-4567 x"), 99)) == "mail <EMAIL> or <NUMBER> x"
 
 
@@ -65,11 +66,11 @@ def test_kept_trees_serve_edit_after_edit(spark, split):
     new = text[:10] + "XY Z" + text[12:]
     after = spark.createDataFrame([(1, new), (1, new), (2, "an other one"), (None, text)], "doc_id long, text string")
     fresh = sorted(map(str, T.token_trees(after).collect()))
-    assert sorted(str(r) for r in first.select("id", "digest", "lengths", "counts").collect()) == fresh
+    assert sorted(str(r) for r in first.select("tree.*").collect()) == fresh
     got = first.where("id = 1").collect()
     assert len(got) == 2 and all(r.n_pretokens > 6000 and 0 < r.n_reencoded <= 8 for r in got)  # near the edit alone
-    again = T.count_tokens(after, spark.createDataFrame([(1, 10, 14, text[10:12])], "doc_id long, start int, end int, replacement string"), trees=first, leaves=True)
-    assert {r.digest for r in again.where("id = 1").collect()} == {hashlib.md5(text.encode()).hexdigest()}
+    again = T.count_tokens(after, spark.createDataFrame([(1, 10, 14, text[10:12])], "doc_id long, start int, end int, replacement string"), trees=first.select("tree.*"), leaves=True)
+    assert {r.tree.digest for r in again.where("id = 1").collect()} == {hashlib.md5(text.encode()).hexdigest()}
 
 
 def test_query_counts_tokens_of_whole_texts(spark, split):
