@@ -117,6 +117,50 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
         assert all((i is None, i or 0) == least[of[i, t]] for i, t in got)
 
 
+def test_columns_of_any_name_pass_through(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join(str(rnd.randrange(10**6)) for _ in range(60))
+    texts = [text() for _ in range(4)]
+    rows = [(None, texts[0], 1, 2, 3), (None, texts[1], 4, 5, 6), (7, texts[2], 7, 8, 9), (7, texts[3], 10, 11, 12), (7, texts[3], 10, 11, 12), (7, texts[3], 10, 11, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, n int, __n int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.distinct().collect()))
+    spans_of = spark.createDataFrame([(7, 0, 2)], "id long, start_word long, end_word long")
+    odd = spark.createDataFrame([(7, "a b c", 1, 2), (None, "a b", 3, 4), (8, None, 5, 6)], "doc_id long, text string, span_id int, spans int")
+    assert sorted(map(str, suffix_dedup.drop_spans(odd, spans_of).collect())) == sorted(map(str, spark.createDataFrame([(7, "c", 1, 2), (None, "a b", 3, 4), (8, None, 5, 6)], odd.schema).collect()))
+
+
+def test_query_links_as_all_pairs_do(spark):
+    data = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    prints = [fingerprint(t) for _, t in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 6]
+    label, near = components(len(docs), links), [0] * len(docs)
+    for a, b in links:
+        near[a] += 1
+        near[b] += 1
+    expected = [(k, f"{p:016x}", n, docs[c][0]) for (k, _), p, n, c in zip(docs, prints, near, label, strict=True)]
+    got = simhash.op9_simhash(spark, data).select("doc_id", "fingerprint", "n_near", "component_id").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
+def test_shared_bytes():
+    rnd = random.Random(13)
+    x = [rnd.getrandbits(64) & sum(0xFF << 8 * p for p in range(8) if rnd.random() < 0.5) for _ in range(500)] + [0, 0x80, 0x8000000000000000, (1 << 64) - 1]
+    assert simhash.shared_bytes(np.array(x, np.uint64)).tolist() == [sum(1 << p for p in range(8) if not v >> 8 * p & 0xFF) for v in x]
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    from folioflow.llm._shared import join_counted
+
+    rows = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(4000)], "key long, v long")
+    by_key = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    got = join_counted(rows, by_key, "key", "n")
+    counts = {r.key: r.n for r in by_key.collect()}
+    assert max(counts.values()) > 600 and sorted(map(tuple, got.select("key", "v", "n").collect())) == sorted((r.key, r.v, counts[r.key]) for r in rows.collect())
+    assert join_counted(rows.limit(0), by_key.limit(0), "key", "n").count() == 0
+
+
 def test_embeddings_agree_with_all_pairs(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8))
@@ -203,6 +247,14 @@ def test_repeated_spans_agree_with_brute_force(spark, seed):
     assert suffix_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_a_seed_of_more_rows_than_a_batch_holds(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    docs = spark.range(17_000).selectExpr("id AS doc_id", f"CASE WHEN id = 5 THEN 'x {text}' ELSE '{text}' END AS text")
+    for rows in (1 << 20, 1 << 14):  # all compared in one task; counted
+        got = suffix_dedup.repeated_spans(docs, group_rows=rows).groupBy("start_word", "end_word").count().collect()
+        assert sorted(map(tuple, got)) == [(0, 50, 16_999), (1, 51, 1)]
+
+
 def test_a_repeat_within_one_document_is_no_span(spark):
     text = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(1, text + " x " + text), (2, "clean")], "doc_id long, text string")

@@ -133,3 +133,32 @@ def test_the_query_packs_as_a_list_would(spark):
     for size, _, n, k in S.pack(sorted(Counter(groups.values()).items(), reverse=True), 16):
         plain[k] += size * n
     assert got.keys() == texts.keys() and held == plain and all(len({got[k].shard for k, t in texts.items() if t == text}) == 1 for text in groups)
+
+
+def test_the_query_packs_as_a_plain_search_would(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    got = P.op3_packing(spark, data).collect()
+    pieces: dict = defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append((r.start, r.length))
+    for d in docs:
+        size = len((d.text or "").encode())
+        assert sorted(pieces[d.doc_id]) == [(k, min(8192, size - k)) for k in range(0, max(1, size), 8192)]
+    # Remainders in falling order, each into the tightest compatible bin of all.
+    cluster = {r.doc_id: r.cluster for r in got}
+    rest = sorted(((-(len((d.text or "").encode()) % 8192), d.doc_id, d.source) for d in docs if len((d.text or "").encode()) % 8192 or not d.text))
+    bins: list = []
+    for size, k, source in rest:
+        fits = [b for b in bins if b[0] >= -size and source not in b[1] and cluster[k] not in b[2]]
+        best = min(fits, key=lambda b: b[0]) if fits else [8192, set(), set()]
+        if not fits:
+            bins.append(best)
+        best[0] += size
+        best[1].add(source)
+        best[2].add(cluster[k])
+    full = sum(len((d.text or "").encode()) // 8192 for d in docs)
+    held = Counter()
+    for r in got:
+        held[r.bin_id] += r.length
+    assert sorted(held.values()) == sorted([8192 - b[0] for b in bins] + [8192] * full)

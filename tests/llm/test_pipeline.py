@@ -69,9 +69,29 @@ def test_the_pipeline_agrees_with_its_parts(spark, duck):
 
 def test_every_stage_takes_odd_rows(spark):
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "en", None, 0), (3, "word " * 300_000, "en", "s", 1)]
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, DATA)
-            assert name == "packing" or out.columns == docs.columns
-            out.collect()
+    words = lambda seed: " ".join(f"{seed}{k * 7919 % 997}" for k in range(120))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "en", None, 0), (3, "word " * 300_000, "en", "s", 1), (None, words("a"), "en", "s", 1), (None, words("b"), "en", "s", 1),
+            (7, words("c"), "en", "s", 1), (7, words("d"), None, "s", 1), (7, words("d"), None, "s", 1), (8, words("e") + " " + item, "en", "s", 1), (9, words("f") + " password=hunter2222", "en", "s", 1)]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame(rows, schema)
+    ids = lambda df: sorted((r.doc_id, r.text or "") for r in df.collect() if r.doc_id is not None)
+    for df in (docs, spark.createDataFrame([], schema)):
+        for name, stage in stages.items():
+            out = stage(spark, df, DATA)
+            assert name == "packing" or out.columns == df.columns
+            n = out.count()
+            assert n == 0 if df is not docs else n >= 1
+    # Rows without words are one group, of which the smallest id stays, as are the two equal ones of 7; all else is apart.
+    kept = stages["near_duplicates"](spark, docs, DATA)
+    assert ids(kept) == sorted((k, t or "") for k, t, *_ in {rows[1], rows[4], rows[7], rows[8], rows[10], rows[11]}) and kept.where("doc_id IS NULL").count() == 2
+    assert sorted(map(str, stages["decontamination"](spark, docs, DATA).collect())) == sorted(str(r) for r in docs.collect() if r.doc_id != 8)
+    masked = stages["secrets"](spark, docs, DATA).collect()
+    assert len(masked) == len(rows) and [r.text for r in masked if r.doc_id == 9] == [words("f") + " [SECRET]"] and sum(r.text is None for r in masked) == 2
+    assert stages["packing"](spark, docs, DATA).select("doc_id").distinct().count() == 7
+    good = stages["quality"](spark, docs, DATA)
+    by_text: dict = {}
+    for r in docs.collect():
+        by_text.setdefault(r.text or "", []).append(str(r))
+    stay = sorted(map(str, good.collect()))
+    assert all(sorted(x for x in stay if x in same) in ([], sorted(same)) for same in by_text.values())

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -58,3 +61,50 @@ def test_tables_fit_an_interaction():
 def test_held_out_rule(spark):
     rows = spark.range(50).select("id", Q.held_out("id").alias("h")).collect()
     assert [r.h for r in rows] == [zlib.crc32(str(r.id).encode()) % 3 == 1 for r in rows]
+
+
+def plain_features(text):
+    """The features of a text, one after the other."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    b, words = text.encode(), [x.encode() for x in w]
+    share = lambda chars: sum(c in chars for c in b) / max(1, len(b))
+    upper, lower = (sum(lo <= c <= hi for c in b) for lo, hi in ((65, 90), (97, 122)))
+    n, lines, times = max(1, len(w)), b.split(b"\n"), Counter(words)
+    symbols, known = b"#$%&*@^~`+=<>_/\\", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \t\r\x0b\x0c.,;:?'\"-!#$%&*@^~`+=<>_/\\|\n"
+    stops = b".,;:?'\"-"
+    return [
+        math.log1p(len(b)), math.log1p(len(w)), sum(map(len, words)) / n, math.log1p(max(map(len, words), default=0)), upper / max(1, upper + lower), share(b"0123456789"), share(stops), share(b"!"), share(symbols), share(b"|"),
+        b.count(b"\n") / max(1, len(b)), sum(c >= 0x80 for c in b) / max(1, len(b)), len(times) / n, max(times.values(), default=0) / n, sum(x == y for x, y in zip(words, words[1:], strict=False)) / n, 1 - len(set(lines)) / len(lines),
+        sum(65 <= x[0] <= 90 for x in words) / n, sum(x[-1:] in [bytes([c]) for c in b"!" + symbols + b"|"] for x in words) / n, sum(c < 0x80 and c not in known for c in b) / max(1, len(b)),
+    ]
+
+
+def plain_score(model, x):
+    z = model.intercept
+    for v, edges, table in zip(x, model.edges, model.tables, strict=True):
+        z += table[sum(e < v for e in edges)]
+    for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+        z += table[sum(e < x[a] for e in model.coarse[a])][sum(e < x[b] for e in model.coarse[b])]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_query_scores_as_plain_look_ups_do(spark):
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in Q.op2_quality(spark, data).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        x = plain_features(t)
+        assert np.allclose(x, Q.features([t.encode()])[0], atol=1e-12), (k, x)
+        assert abs(got[k].score - plain_score(model, Q.features([t.encode()])[0])) < 1e-9 and got[k].predicted == (got[k].score >= 0.5)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
+def test_of_several_texts_of_an_id_one_is_chosen(spark):
+    docs = [(1, "a b c d"), (1, "E!! F!!"), (2, "g h"), (3, "| | |"), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    at = np.zeros((1, len(Q.FEATURES)))
+    scores = {float(Q.train(spark.createDataFrame(rows, "doc_id long, text string"), labels).score(at)[0]) for rows in (docs, docs[::-1])}
+    assert len(scores) == 1

@@ -126,6 +126,17 @@ def test_archives_round_trip(spark):
     assert W.read_chunks(W.write_archives(pages.limit(0), shared_dir(spark, "test-warc"))).count() == 0
 
 
+def test_hot_payloads_and_pages_without_ids(spark):
+    rows = [(k, "same" * 400) for k in range(300)] + [(None, "same" * 400)] * 50 + [(k, f"{k}" * 300) for k in range(300, 1500)] + [(5, "other" * 300), (9, "other" * 300)]
+    pages = spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id long, url string, html string")
+    got = W.roles(pages).select("id", "payload", "refers_to").collect()
+    last: dict = {}
+    for k, t in rows:
+        last[t] = max(last.get(t, -1), -1 if k is None else k)
+    expected = [(k, t, last[t] if k is not None and len(t) >= 1000 and k < last[t] else None) for k, t in rows]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, expected))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -194,6 +205,18 @@ def test_the_procedure_agrees_with_a_sorted_list(spark):
     assert abs(sum(q <= limit for q in flat) - cut) <= 1 + cut // 20  # cells of a hundredth of a decade
 
 
+def test_query_finds_the_base_of_whole_texts(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = X.op10_secrets(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        base = base_spans(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for k, _, _ in base) for n in range(3)] and r.base_sha256 == X.digest(base)
+        listed = {tuple(x.split(":")) for x in r.spans.split(",") if x}
+        assert {(X.KINDS[k], str(s), str(e)) for k, s, e in base} <= listed
+
+
 def test_findings_and_redaction(spark):
     rnd = random.Random(5)
     key = base64.b64encode(rnd.randbytes(48)).decode()
