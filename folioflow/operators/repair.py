@@ -20,7 +20,7 @@ _SUFFIXES = tuple("ed er es ied ies ing ly s".split())
 #: Pieces of a word that are looked up at once; words of more pieces take a further look-up each.
 PIECES = 3
 #: Tokens that a fold copies at a step.
-_CHUNK = 256
+_CHUNK = 32
 
 
 def stems(word: Column) -> Column:
@@ -170,7 +170,9 @@ def fix_text(texts: DataFrame, key: str, text: str, dictionary: DataFrame, frequ
     """Citations, hyphen breaks, soft wraps and fused tokens, in that order, with the counts of each pass. ``key`` is unique."""
     frequency = written(token_frequency(texts, text), "frequency") if frequency is None else frequency
     cited = texts.withColumn("n_citation", F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\b[1lI][Cc]\s*lem\s+\d+\s*:\s*\d+"), F.lit(0)), lambda m: normalize_citation(m) != m))).withColumn(text, normalize_citation(F.col(text)))
-    soft = merge_soft_wraps(join_hyphen_breaks(cited, key, text, dictionary, frequency), key, text, dictionary, frequency)
+    # Each pass reads its texts more than once.
+    hyphened = written(join_hyphen_breaks(written(cited, "cited"), key, text, dictionary, frequency), "hyphened")
+    soft = merge_soft_wraps(hyphened, key, text, dictionary, frequency)
     count = F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(_glued(tables.GLUED)), F.lit(0)), lambda t: ~t.startswith("<")))
     return soft.withColumn("n_unglued", count).withColumn(text, unglue(F.col(text)))
 
