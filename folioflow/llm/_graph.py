@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import release, written
 
 #: Edges of 16 bytes that the driver may hold; more are joined up by the executors.
 DRIVER_EDGES = 500_000
@@ -45,6 +45,7 @@ def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) ->
     pairs = written(pairs, "edges")
     if pairs.count() <= driver_edges:
         got = pairs.toArrow()
+        release(pairs)
         a, b = (np.asarray(got[c].combine_chunks()) for c in ("a", "b"))
         nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
         label = nodes[local_components(inverse[: len(a)], inverse[len(a) :], len(nodes))] if len(nodes) else nodes
@@ -52,17 +53,20 @@ def connected_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) ->
             pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(label, pa.int64())})
         )
     seen, loops = None, pairs.where("a = b").select(F.col("a").alias("node"))
-    pairs = pairs.where("a <> b")
+    pairs, last = pairs.where("a <> b"), None
     while True:
         # Large star: neighbours above u move to the least of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        pairs = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        pairs = large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        if last is not None:
+            release(last)
         # Small star: u and its neighbours below it move to the least of those.
         down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        pairs = last = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        release(large)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             roots = pairs.select(F.col("b").alias("node")).distinct()
