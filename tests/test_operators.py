@@ -325,3 +325,16 @@ def test_values_kept_by_key(spark):
     kept = marks.keep_value(store, changes)
     assert {r.key: r.value for r in kept.collect()} == {"a": "1", "b": '{"x": 2}', "c": "["}
     assert {r.key: r.x for r in kept.select("key", marks.kept_value(F.col("value"), "x int").x.alias("x")).collect()} == {"a": None, "b": 2, "c": None}
+
+
+def test_soft_wraps_of_a_long_text_are_one_pass_with_looked_up_facts(spark):
+    facts = {"moun": (False, False, 1), "tains": (False, False, 1), "mountains": (True, True, 0), "mountainsed": (False, True, 0), "aram": (True, True, 9), "is": (True, True, 9), "aramis": (True, True, 1)}
+    stop = frozenset(["is"])
+    assert repair.merge_tokens("the moun tains <b>Moun tains</b> moun  tains Aram is moun Tains", facts, stop) == ("the mountains <b>Mountains</b> moun  tains Aram is moun Tains", 2)
+    assert repair.merge_tokens("Moun tains ed", facts, stop) == ("Mountains ed", 1)  # a capital needs the joined word itself
+    assert repair.merge_tokens("moun tains ed", facts, stop) == ("mountainsed", 2)
+    assert repair.merge_tokens("moun tains " * 50_000, facts, stop) == ("mountains " * 50_000, 50_000)
+    texts = spark.createDataFrame([(1, "moun tains")], "k int, t string")
+    rows = repair.merge_soft_wraps(texts, "k", "t", spark.createDataFrame([("mountains",)], "word string"), spark.createDataFrame([("moun", 1)], "token string, freq long"))
+    assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[0]
+    assert tuple(rows.first()) == (1, "mountains", 1)
