@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_match
+from ..sources.shared import release, written
 from .windows import word_windows
 
+#: Slots by which runs of words that no needle has are left out early. Needles fill them as far as they go; the join decides on what is left.
+SLOTS = 1 << 20
+#: Bytes of text whose words are hashed at a time.
+_TEXT_BYTES = 4 << 20
+
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, right_on: str, order: str, by: list[str] | None = None, buckets: int = 0) -> DataFrame:
     """Each row of ``left`` with the right row of the greatest ``right_on`` that isn't above ``on``; of ties the first by ``order``.
@@ -70,7 +82,7 @@ def contains_window(needles: DataFrame, haystacks: DataFrame, needle: str, hay:
 
     Both texts are normalized for matching. All words of a window but its first and last are whole words of such a haystack, so windows meet haystacks by
     an equi-join of up to four of them (of two words by the characters about the space, of one word by its first three characters); only ids and hashes
-    are shuffled for that. Pairs that meet are verified on the texts. A needle of fewer than 4 words must be held whole, or with ``short`` false is
+    are shuffled for that, of a haystack those that a bitmap of the needles' hashes lets through. Pairs that meet are verified on the texts. A needle of fewer than 4 words must be held whole, or with ``short`` false is
     left out; a needle without words is in nothing. Rows: all columns of both sides, which have different names, once for each pair of rows.
     """
     if both := {c.lower() for c in needles.columns} & {c.lower() for c in haystacks.columns}:
@@ -86,25 +98,82 @@ def contains_window(needles: DataFrame, haystacks: DataFrame, needle: str, hay:
     about = lambda a, b: F.concat(F.right(a, F.lit(1)), F.lit(" "), F.left(b, F.lit(1)))
     key = F.when(F.col("k") >= 1, inner).when(F.col("k") == 0, about(F.get(w, F.lit(0)), F.get(w, F.lit(1)))).otherwise(F.left("s", F.lit(3)))
     tried = part.select("nid", F.when(F.col("k") < 0, -F.length(key)).otherwise(F.col("k")).alias("k"), key.alias("key"))
+    tried = written(tried.select("nid", "k", F.when(F.col("k") >= 1, _run_hash(F.col("key"))).otherwise(F.xxhash64("k", "key")).alias("key")).distinct(), "window-keys")
     kinds = sorted(r[0] for r in tried.select("k").distinct().collect())  # of 1 to 4 words, 0, and 1 to 3 characters as -1 to -3
-    h = haystacks.select(row(haystacks).alias("hid"), normalize_match(F.col(hay)).alias("t")).withColumn("w", words(F.col("t")))
+    h = haystacks.select(row(haystacks).alias("hid"), normalize_match(F.col(hay)).alias("t"))
 
     def keys(k: int) -> Column:
-        count = F.size(w) - (k - 1 if k else 1) if k >= 0 else F.length("t") + k + 1
+        count = F.size(w) - 1 if k == 0 else F.length("t") + k + 1
         at = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        if k > 0:
-            return F.transform(at, lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, F.lit(k)), " ")))
         if k == 0:
             return F.transform(at, lambda i: F.xxhash64(F.lit(k), about(F.get(w, i - 1), F.get(w, i))))
         return F.transform(at, lambda i: F.xxhash64(F.lit(k), F.substring("t", i, F.lit(-k))))
 
-    listed = F.array_distinct(F.concat(*map(keys, kinds))) if kinds else F.array().cast("array<bigint>")
-    met = h.select("hid", F.explode(listed).alias("key")).join(tried.select("nid", F.xxhash64("k", "key").alias("key")).distinct(), "key").select("nid", "hid").distinct()
+    listed = _runs_met(h, tried, [k for k in kinds if k > 0])
+    if short := [k for k in kinds if k <= 0]:
+        listed = listed.unionByName(h.withColumn("w", words(F.col("t"))).select("hid", F.explode(F.array_distinct(F.concat(*map(keys, short)))).alias("key")))
+    # Written, so that its size is known: while it is small the texts aren't shuffled.
+    met = written(listed.join(tried.select("nid", "key").distinct(), "key").select("nid", "hid").distinct(), "windows-met")
+    release(tried)
     texts = haystacks.select(row(haystacks).alias("hid"), F.struct(*haystacks.columns).alias("h"))
-    held = met.join(n, "nid").join(texts, "hid").withColumn("t", normalize_match(F.col(f"h.{hay}")))
+    held = texts.join(met, "hid").join(n, "nid").withColumn("t", normalize_match(F.col(f"h.{hay}")))
     return held.where(F.exists("wins", lambda x: F.contains(F.col("t"), x))).select("n.*", "h.*")
 
 
+def _runs_met(texts: DataFrame, tried: DataFrame, kinds: list[int]) -> DataFrame:
+    """(hid, key) of the runs of ``kinds`` words of texts normalized for matching whose slot a key of ``tried`` fills: each once in a text, at the least all that a needle has."""
+    filled = np.zeros(SLOTS, bool)
+    for r in tried.where("k > 0").select(F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toLocalIterator():
+        filled[r.slot] = True
+    bits = np.packbits(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.unpackbits(bits).astype(bool)
+        for b in batches:
+            step = max(1, int(len(b) * _TEXT_BYTES / max(1, b.nbytes)))
+            for at in range(0, len(b), step):
+                ids, rows, keys = np.asarray(b["hid"][at : at + step]), [], []
+                for row, key in word_runs(b["t"][at : at + step], kinds):
+                    kept = filled[key & np.uint64(SLOTS - 1)]
+                    rows.append(row[kept])
+                    keys.append(key[kept])
+                if rows:
+                    once = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[once[0].astype(np.int64)], pa.int64()), pa.array(once[1].view(np.int64), pa.int64())], ["hid", "key"])
+
+    return texts.where("t IS NOT NULL").select("hid", "t").mapInArrow(run, "hid long, key long")
+
+
+def word_runs(texts: pa.Array, kinds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each number of words the runs of so many in texts of words with single spaces: the text's place and the run's 64-bit hash."""
+    lists = pc.split_pattern(texts, " ")
+    coded = pc.dictionary_encode(lists.flatten())
+    hashed = np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
+    hashes, rows = hashed[np.asarray(coded.indices)], np.asarray(pc.list_parent_indices(lists))
+    for k in kinds:
+        n = max(0, len(hashes) - k + 1)
+        key = np.full(n, k, np.uint64)
+        for j in range(k):
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        whole = rows[:n] == rows[k - 1 : k - 1 + n]
+        yield rows[:n][whole], key[whole]
+
+
+def _run_hash(run: Column) -> Column:
+    """The hash that ``word_runs`` gives to a text's only run of all its words."""
+    @F.arrow_udf("long")
+    def hashed(runs: pa.Array) -> pa.Array:
+        out = np.zeros(len(runs), np.uint64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(pc.split_pattern(runs, " ")), 0))
+        for k in set(sizes.tolist()) - {0}:
+            own = np.flatnonzero(sizes == k)
+            for row, key in word_runs(runs.take(pa.array(own)), [k]):
+                out[own[row]] = key
+        return pa.array(out.view(np.int64), pa.int64())
+
+    return hashed(run)
+
+
 def contains_text(needles: DataFrame, haystacks: DataFrame, windows: Column, hay: Column) -> DataFrame:
     """Pairs whose haystack holds one of the needle's windows as a substring, words cut at the ends included.
 

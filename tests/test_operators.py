@@ -338,3 +338,24 @@ def test_soft_wraps_of_a_long_text_are_one_pass_with_looked_up_facts(spark):
     rows = repair.merge_soft_wraps(texts, "k", "t", spark.createDataFrame([("mountains",)], "word string"), spark.createDataFrame([("moun", 1)], "token string, freq long"))
     assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[0]
     assert tuple(rows.first()) == (1, "mountains", 1)
+
+
+def test_runs_of_words_leave_haystacks_only_where_a_needle_may_have_them(spark):
+    rnd = random.Random(3)
+    vocabulary = [a + b for a in "abcdefgh" for b in "ijklm"]
+    line = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    hay = [line(rnd.randint(0, 60)) for _ in range(300)] + ["", None, "Ai, BJ! ck"]
+    cut = lambda t, n: " ".join(t.split()[k : k + n]) if (k := rnd.randint(0, max(0, len(t.split()) - n))) >= 0 else ""
+    needles = [cut(rnd.choice(hay[:300]), n) + rnd.choice(["", "", "x"]) for n in range(1, 14) for _ in range(6)] + ["", None]
+    n, h = spark.createDataFrame([*enumerate(needles)], "i int, n string"), spark.createDataFrame([*enumerate(hay)], "j int, t string")
+
+    def windows_of(t):
+        w = t.split()
+        return [" ".join(w[i : i + 8]) for i in range(0, max(1, len(w) - 4), 4)] if len(w) >= 4 else [" ".join(w)] if w else []
+
+    norm = lambda t: " ".join(re.sub(r"[^\w\s]", " ", (t or "").lower()).split())
+    expected = {(i, j) for i, a in enumerate(needles) for j, b in enumerate(hay) if any(x in norm(b) for x in windows_of(norm(a)))}
+    assert {(r.i, r.j) for r in joins.contains_window(n, h, "n", "t").collect()} == expected
+    tried = spark.createDataFrame([(0, 4, 5)], "nid int, k int, key long")
+    far = spark.createDataFrame([(k, line(100)) for k in range(100)], "hid long, t string")
+    assert joins._runs_met(far, tried, [4]).count() < 10  # of 9,700 runs
