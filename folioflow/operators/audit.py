@@ -21,18 +21,20 @@ def _sampled(verses: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def _not_found(sampled: DataFrame, page_texts: list[DataFrame], margin: int, short: bool) -> DataFrame:
     """Sampled verses none of whose word windows is in the joined text of their pages, in any of the readings (pdf, page, text)."""
-    w = words(F.col("t"))
+    # The words are a column of their own, or each window would normalize the text again; so would a filter on the windows, which is pushed down into them.
+    w = F.col("__w")
     wins = F.when(F.size(w) >= 4, windows.word_windows(w, margin))
     wins = wins.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")) if short else wins
-    tried = sampled.withColumn("wins", wins).where("wins IS NOT NULL")
-    wanted = tried.select("pdf", "first", "last").distinct().select("pdf", "first", "last", F.explode(F.sequence("first", F.greatest("first", "last"))).alias("page"))
+    tried = sampled.withColumn("__w", words(F.col("t"))).withColumn("wins", wins).drop("__w")
+    wanted = sampled.select("pdf", "first", "last").distinct().select("pdf", "first", "last", F.explode(F.sequence("first", F.greatest("first", "last"))).alias("page"))
     found = F.lit(False)
     for k, pages in enumerate(page_texts):
         joined = wanted.join(pages.select("pdf", "page", "text"), ["pdf", "page"]).groupBy("pdf", "first", "last").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p.text), "\n").alias("text"))
         tried = tried.join(joined.select("pdf", "first", "last", normalize_match(F.col("text")).alias(f"hay{k}")), ["pdf", "first", "last"], "left")
         found = found | _any_in(F.col(f"hay{k}"))
-    return tried.where(~found).select("id", "ch", "n", "t", "pdf", "first", "last")
+    # Null windows are those of texts left out.
+    return tried.where(~F.coalesce(found, F.lit(True))).select("id", "ch", "n", "t", "pdf", "first", "last")
 
 
 def _any_in(hay: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import aggregates, filters, joins, layout, marks, repair, segment, translit, windows
 from .sources import corpus
+from .sources.shared import written
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -630,6 +631,7 @@ def book_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.lit(1).alias("ch"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1).alias("pos"),
                                                         (F.col("turn") + 1).cast("int").alias("n"), F.col("text").alias("t"))
+    rows = written(rows, "verses")  # read many times below
     ids = rows.select("id").distinct()
     meta = ids.select("id", F.col("id").alias("hebrew"), F.col("id").alias("english"), F.lit("s").alias("section"), F.lit(1).alias("chapter_count"))
     chapters = ids.select("id", F.lit(1).alias("ch"), F.col("id").alias("pdf"), F.lit(1).alias("page"))

@@ -359,3 +359,14 @@ def test_runs_of_words_leave_haystacks_only_where_a_needle_may_have_them(spark):
     tried = spark.createDataFrame([(0, 4, 5)], "nid int, k int, key long")
     far = spark.createDataFrame([(k, line(100)) for k in range(100)], "hid long, t string")
     assert joins._runs_met(far, tried, [4]).count() < 10  # of 9,700 runs
+
+
+def test_windows_of_a_verse_are_cut_from_words_normalized_once(spark):
+    pages = spark.createDataFrame([("f", 1, "aa bb cc dd ee ff gg hh"), ("f", 2, "x")], "pdf string, page int, text string")
+    texts = ["Áa, bb cc dd ee ff gg hh", "aa bb cc dd ee ff gg ii", "bb cc", None, ""]
+    sampled = spark.createDataFrame([("b", k, 1, t, "f", 1, 2) for k, t in enumerate(texts)], "id string, ch int, n int, t string, pdf string, first int, last int")
+    for short, lost in ((False, [1]), (True, [1, 3, 4])):
+        rows = audit._not_found(sampled, [pages], margin=5, short=short)
+        assert sorted(r.ch for r in rows.collect()) == lost
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 2  # of the verses and of the pages
