@@ -17,10 +17,21 @@ def count_by(rows: DataFrame, key: str = "id", name: str = "n_verses") -> DataFr
     return rows.groupBy(key).agg(F.count("*").alias(name))
 
 
-def first_mode(rows: DataFrame, key: list[str], value: Column, pos: str) -> DataFrame:
-    """The most frequent value of each group, of ties the one that comes first: (key, mode)."""
-    counted = rows.withColumn("__v", value).groupBy(*key, "__v").agg(F.count("*").alias("__c"), F.min(pos).alias("__p"))
-    return counted.groupBy(*key).agg(F.max_by("__v", F.struct("__c", -F.col("__p"))).alias("mode"))
+#: Bytes of a table's files, as far as its columns are read, whose groups are a task's share.
+SHARE = 2 << 20
+
+
+def shares(rows: DataFrame, key: list[str], share: int = SHARE) -> DataFrame:
+    """``rows`` dealt out by ``key`` over tasks as many as their size asks for (up to 32,768), whatever the session's number; a task's memory doesn't grow with the table."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(min(max(1, -(-size // share)), 1 << 15), *key)
+
+
+def first_mode(rows: DataFrame, key: list[str], value: Column, pos: list[str]) -> DataFrame:
+    """The most frequent value of each group, of ties the one that comes first by ``pos``: (key, mode)."""
+    own = shares(rows.select(*key, *pos, value.alias("__v")), key)
+    counted = own.groupBy(*key, "__v").agg(F.count("*").alias("__c"), F.min(F.struct(*pos)).alias("__p"))
+    return counted.groupBy(*key).agg(F.min_by("__v", F.struct(-F.col("__c"), "__p")).alias("mode"))
 
 
 def first_examples(rows: DataFrame, key: str, value: str, pos: str, top: int = 20) -> DataFrame:

@@ -80,8 +80,8 @@ def counts_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT l_orderkey, round_even(l_quantity / 10, 0)::INT AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS p FROM lineitem) GROUP BY ALL) GROUP BY l_orderkey""")
 def first_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: the most frequent rounded value, of ties the first."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("p", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity")))
-    return aggregates.first_mode(rows, ["l_orderkey"], F.bround(F.col("l_quantity") / 10, 0).cast("int"), "p")
+    rows = table(spark, sf_dir, "lineitem")
+    return aggregates.first_mode(rows, ["l_orderkey"], F.bround(F.col("l_quantity") / 10, 0).cast("int"), ["l_linenumber", "l_quantity"])
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus <> 'O') AS n_other, max(o_totalprice) AS top, coalesce(min(CASE WHEN o_totalprice > 1e9 THEN o_totalprice END), 0) AS none FROM orders GROUP BY 1")

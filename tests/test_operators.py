@@ -370,3 +370,21 @@ def test_windows_of_a_verse_are_cut_from_words_normalized_once(spark):
         assert sorted(r.ch for r in rows.collect()) == lost
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("translate(") == 2  # of the verses and of the pages
+
+
+def test_modes_are_counted_in_shares_of_bounded_size(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3000), rnd.randrange(1, 5), float(rnd.randrange(50))) for _ in range(20_000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "k long, line int, q double").write.parquet(path)
+    expected = {}
+    for k in {r[0] for r in rows}:
+        values = [int(q // 10) for _, _, q in sorted(r for r in rows if r[0] == k)]
+        expected[k] = max(values, key=lambda v: (values.count(v), -values.index(v)))
+    table = spark.read.parquet(path)
+    got = aggregates.first_mode(table, ["k"], F.floor(F.col("q") / 10).cast("int"), ["line", "q"])
+    assert {r.k: r["mode"] for r in got.collect()} == expected
+    # Not by the session's number of partitions, of which a task's memory would grow with the table.
+    assert got.rdd.getNumPartitions() == 1
+    assert aggregates.shares(table, ["k"], 4 << 10).rdd.getNumPartitions() > 8
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
