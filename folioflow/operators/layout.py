@@ -56,9 +56,9 @@ def page_text(words: DataFrame) -> DataFrame:
 
 
 def body_size(chars: DataFrame) -> DataFrame:
-    """(pdf, page, body_size): the most frequent rounded size of a page, of ties the first seen."""
+    """(pdf, page, body_size): the most frequent rounded size of a page, of ties the first seen, of those seen at one position the smallest."""
     counted = chars.groupBy(*_PAGE, F.bround("size", 0).alias("s")).agg(F.count("*").alias("c"), F.min("pos").alias("p"))
-    return counted.groupBy(*_PAGE).agg(F.max_by("s", F.struct("c", -F.col("p"))).alias("body_size"))
+    return counted.groupBy(*_PAGE).agg(F.max_by("s", F.struct("c", -F.col("p"), -F.col("s"))).alias("body_size"))
 
 
 def drop_footnotes(chars: DataFrame) -> DataFrame:

@@ -388,3 +388,10 @@ def test_modes_are_counted_in_shares_of_bounded_size(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 1
     assert aggregates.shares(table, ["k"], 4 << 10).rdd.getNumPartitions() > 8
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_body_size_of_a_full_tie_is_the_smallest_whatever_the_order_of_rows(spark):
+    sizes = [6.0, 8.0, 10.0]
+    for order in (sizes, sizes[::-1], [8.0, 6.0, 10.0]):
+        chars = spark.createDataFrame([("f", 1, 3, s) for s in order] + [("f", 1, 4, s) for s in order], "pdf string, page int, pos int, size double").coalesce(1)
+        assert layout.body_size(chars).collect() == [("f", 1, 6.0)]
